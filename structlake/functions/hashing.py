@@ -29,9 +29,8 @@ def run_key(structure_hash: Column, cofactor: Column, mutations: Column,
         metadata if metadata is not None else F.lit("")), 256)
 
 
-def digest_words(text: Column) -> list[Column]:
-    """The first words of a row's SHA-256 as non-negative longs."""
-    digest = F.sha2(text, 256)
+def digest_words(digest: Column) -> list[Column]:
+    """The first words of a row's hex digest as non-negative longs."""
     return [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint")
             for i in range(_WORDS)]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.residues import is_cofactor
 from .spatial import POSITION, RESIDUE, pairs_within
@@ -122,25 +122,27 @@ def residue_distances(atoms: DataFrame, picked: DataFrame,
     )
 
 
+def nearest_residues(atoms: DataFrame, centers: DataFrame, k: int) -> DataFrame:
+    """The ``k`` residues nearest to one centre per structure.
+
+    The rank filter is applied before the shuffle too (window group limit).
+    """
+    ranked = Window.partitionBy("structure_id").orderBy(
+        "min_dist", "chain", numeric_resi(F.col("resi")), "resi", "icode")
+    return (
+        residue_distances(atoms, centers, POSITION)
+        .withColumn("_rank", F.row_number().over(ranked))
+        .where(F.col("_rank") <= k).drop("_rank")
+    )
+
+
 def shell_residues(atoms: DataFrame, radius: float, fallback: int = 24) -> DataFrame:
     """Residues of the recommender shell around the representative site.
 
     Where a structure has none in the radius, its ``fallback`` nearest ones.
     """
-    from pyspark.sql import Window
-
     picked, pairs = pick_site(atoms, radius, POSITION)
     inside = chosen_pairs(picked, pairs, POSITION).select(*POSITION, "min_dist")
     empty = picked.where(F.col("score") == 0)
-    ranked = Window.partitionBy("structure_id").orderBy(
-        "min_dist", "chain", numeric_resi(F.col("resi")), "resi", "icode")
-    # Only structures without a hit reach the ranking, and the rank filter is
-    # applied before the shuffle as well (window group limit).
-    nearest = (
-        residue_distances(atoms, empty, POSITION)
-        .withColumn("_rank", F.row_number().over(ranked))
-        .where(F.col("_rank") <= fallback)
-        .select(*POSITION, "min_dist")
-    )
     return inside.withColumn("fallback", F.lit(False)).unionByName(
-        nearest.withColumn("fallback", F.lit(True)))
+        nearest_residues(atoms, empty, fallback).withColumn("fallback", F.lit(True)))

@@ -87,13 +87,17 @@ def residues(atoms: DataFrame, key=RESIDUE) -> DataFrame:
     )
 
 
-def burial(atoms: DataFrame, key=POSITION, radius: float = 6.0) -> DataFrame:
+def burial(atoms: DataFrame, key=POSITION, radius: float = 6.0,
+           of: DataFrame | None = None) -> DataFrame:
     """Per residue, how many other residues have an atom near its centroid.
 
-    ``key`` names the residue; every residue gets a row, zero included.
+    ``key`` names the residue; every residue gets a row, zero included.  With
+    ``of`` only the residues listed there are measured.
     """
     names = [k for k in key if k != "structure_id"]
-    centers = atoms.groupBy(*key).agg(
+    measured = atoms if of is None else atoms.join(
+        of.select(*key).distinct(), list(key), "left_semi")
+    centers = measured.groupBy(*key).agg(
         F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg("z").alias("cz"))
     others = atoms.select(
         "structure_id", *(F.col(n).alias(f"other_{n}") for n in names),

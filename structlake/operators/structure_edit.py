@@ -15,10 +15,13 @@ _RECORD = ["structure_id", "line_no", "sub_line", "record", "atom_name", "altloc
 
 def structure_hashes(lines: DataFrame) -> DataFrame:
     """Content hash of all lines and of the coordinate records."""
-    words = hashing.digest_words(F.col("value"))
-    coordinate = is_coordinate_record(F.col("value"))
+    hashed = lines.select(
+        "structure_id", is_coordinate_record(F.col("value")).alias("coordinate"),
+        F.sha2("value", 256).alias("digest"))
+    words = hashing.digest_words(F.col("digest"))
+    coordinate = F.col("coordinate")
     zero = F.lit(0).cast("bigint")
-    return lines.groupBy("structure_id").agg(
+    return hashed.groupBy("structure_id").agg(
         hashing.multiset_digest(words, F.count("*")).alias("structure_hash"),
         hashing.multiset_digest(
             [F.when(coordinate, w).otherwise(zero) for w in words],
@@ -41,13 +44,15 @@ def coordinate_hashes(atoms: DataFrame, radius: float = 12.0) -> DataFrame:
         *(F.avg(a).alias(f"c{a}") for a in "xyz"))
     parts = [F.col(a) - F.col(f"c{a}") for a in "xyz"]
     inside = F.sqrt(sum(p * p for p in parts)) <= radius
-    words = hashing.digest_words(F.format_string("%.3f %.3f %.3f", "x", "y", "z"))
-    zero = F.lit(0).cast("bigint")
-    return atoms.join(centers, "structure_id").groupBy("structure_id").agg(
+    text = F.format_string("%.3f %.3f %.3f", "x", "y", "z")
+    hashed = atoms.join(centers, "structure_id").select(
+        "structure_id", inside.alias("inside"),
+        F.when(inside, F.sha2(text, 256)).alias("digest"))
+    return hashed.groupBy("structure_id").agg(
         hashing.multiset_digest(
-            [F.when(inside, w).otherwise(zero) for w in words], F.count_if(inside)
-        ).alias("coordinate_hash"),
-        F.count_if(inside).alias("n_atoms"))
+            [F.coalesce(w, F.lit(0)) for w in hashing.digest_words(F.col("digest"))],
+            F.count_if("inside")).alias("coordinate_hash"),
+        F.count_if("inside").alias("n_atoms"))
 
 
 def _templates():

@@ -49,7 +49,8 @@ def sets(t):
     return mutations.parse_lists(t.mutlists)
 
 
-MUTS = F.col("mutations")
+def muts():
+    return F.col("mutations")
 
 
 @query("f01_parse_mutations", """
@@ -75,8 +76,8 @@ def _(t):
 
 @query("f03_set_keys", "SELECT set_id, canonical_key, display_key FROM set_sql")
 def _(t):
-    return sets(t).select("set_id", M.canonical_key(MUTS).alias("canonical_key"),
-                          M.display_key(MUTS).alias("display_key"))
+    return sets(t).select("set_id", M.canonical_key(muts()).alias("canonical_key"),
+                          M.display_key(muts()).alias("display_key"))
 
 
 @query("f04_feature_hash", """
@@ -92,7 +93,7 @@ SELECT set_id, sha256(concat_ws('|', 'S' || CAST(structure_id AS VARCHAR), 'FMN'
 FROM set_sql""")
 def _(t):
     return sets(t).select("set_id", hashing.run_key(
-        F.concat(F.lit("S"), F.col("structure_id").cast("string")), F.lit("FMN"), MUTS,
+        F.concat(F.lit("S"), F.col("structure_id").cast("string")), F.lit("FMN"), muts(),
         F.lit("m")).alias("run_key"))
 
 
@@ -160,20 +161,20 @@ def _(t):
 
 @query("a22_effect_sums", "SELECT set_id, round(lfp, 6) AS lfp, round(steric, 6) AS steric FROM set_sql")
 def _(t):
-    lfp, steric = M.effect_sums(MUTS)
+    lfp, steric = M.effect_sums(muts())
     return sets(t).select("set_id", F.round(lfp, 6).alias("lfp"), F.round(steric, 6).alias("steric"))
 
 
 @query("a23_effect_factors", "SELECT set_id, round(electro, 6) AS electro, round(vib, 6) AS vib FROM set_sql")
 def _(t):
-    electro, vib = M.effect_factors(MUTS)
+    electro, vib = M.effect_factors(muts())
     return sets(t).select("set_id", F.round(electro, 6).alias("electro"), F.round(vib, 6).alias("vib"))
 
 
 @query("a24_volume_change", """
 SELECT set_id, round(volume_delta, 6) AS volume_delta, round(wt_reference, 6) AS wt_reference, hybridisation_change FROM set_sql""")
 def _(t):
-    parts = M.volume_change(MUTS)
+    parts = M.volume_change(muts())
     return sets(t).select("set_id", F.round(parts["volume_delta"], 6).alias("volume_delta"),
                           F.round(parts["wt_reference"], 6).alias("wt_reference"),
                           parts["hybridisation_change"].alias("hybridisation_change"))
@@ -181,10 +182,10 @@ def _(t):
 
 @query("p19_adjusted_features", """
 SELECT s.set_id, round(coalesce(e.iso, 0.0) + f.lfp + s.lfp, 6) AS iso, round(coalesce(e.hb_cap, 0.0) + 0.5 * (f.steric + s.steric), 6) AS hb_cap,
-       round(coalesce(e.flex, 0.0) * (1 + 0.02 * s.n_mutations), 7) AS flex
+       round(coalesce(e.flex, 0.0) * (1 + 0.02 * s.n_mutations), 10) AS flex
 FROM set_sql s JOIN lfp_sql f ON f.structure_id = s.structure_id LEFT JOIN env_sql e ON e.structure_id = s.structure_id""")
 def _(t):
-    lfp, steric = M.effect_sums(MUTS)
+    lfp, steric = M.effect_sums(muts())
     features = environment.environment_features(t.atoms)
     field = environment.local_field(t.atoms)
     adjusted = rules.mutation_adjusted(
@@ -192,7 +193,7 @@ def _(t):
         F.col("steric") + steric, F.size("mutations"))
     return sets(t).join(features, "structure_id").join(field, "structure_id").select(
         "set_id", F.round(adjusted["iso"], 6).alias("iso"),
-        F.round(adjusted["hb_cap"], 6).alias("hb_cap"), F.round(adjusted["flex"], 7).alias("flex"))
+        F.round(adjusted["hb_cap"], 6).alias("hb_cap"), F.round(adjusted["flex"], 10).alias("flex"))
 
 
 @query("p21_adjusted_gap", f"""
@@ -211,11 +212,11 @@ def _(t):
 @query("p33_strain_and_scaling", """
 SELECT set_id, round(CASE WHEN strained THEN abs(steric) + 0.5 ELSE 0.0 END, 6) AS strain, to_cys FROM set_sql""")
 def _(t):
-    _lfp, steric = M.effect_sums(MUTS)
-    hinge = M.has_substitution(MUTS, ("39", "40"))
+    _lfp, steric = M.effect_sums(muts())
+    hinge = M.has_substitution(muts(), ("39", "40"))
     return sets(t).select(
         "set_id", F.round(F.when(hinge, F.abs(steric) + 0.5).otherwise(F.lit(0.0)), 6).alias("strain"),
-        M.has_substitution(MUTS, ("42",), "C").alias("to_cys"))
+        M.has_substitution(muts(), ("42",), "C").alias("to_cys"))
 
 
 view("exclude_sql", """

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ATOMS_FX = """
 SELECT l_suppkey AS structure_id,
@@ -129,8 +129,13 @@ class Tables:
 
     @cached_property
     def lines(self) -> DataFrame:
-        return self._view(LINES_FX, atoms_fx=self.atoms,
+        text = self._view(LINES_FX, atoms_fx=self.atoms,
                           supplier=self.table("supplier"))
+        # Text that comes from a file is read once; rendered text would be
+        # rendered again for every predicate pushed through it.  A generator
+        # is a barrier to that, and needs no shuffle.
+        return text.select("structure_id", "line_no",
+                           F.explode(F.array("value")).alias("value"))
 
     @cached_property
     def mutlists(self) -> DataFrame:
