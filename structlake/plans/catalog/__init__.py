@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("structures", "pocket", "mutation_sets", "recommendations")
+_MODULES = ("structures", "pocket", "mutation_sets", "recommendations", "evaluation")
 
 
 def load() -> None:
