@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("structures", "pocket", "mutation_sets", "recommendations", "evaluation")
+_MODULES = ("structures", "pocket", "mutation_sets", "recommendations", "evaluation", "profile_log", "learning")
 
 
 def load() -> None:

@@ -119,9 +119,9 @@ def _(t):
     return complexity_rows(t).select("pdb_id", *rounded("complexity", "damping"), "escalate")
 
 
-@query("p12_shrink_outliers", "SELECT pdb_id, round(gpr_pred, 9) AS gpr_pred FROM complex_sql")
+@query("p12_shrink_outliers", "SELECT pdb_id, round(gpr_pred, 6) AS gpr_pred FROM complex_sql")
 def _(t):
-    return complexity_rows(t).select("pdb_id", *rounded("gpr_pred", digits=9))
+    return complexity_rows(t).select("pdb_id", *rounded("gpr_pred"))
 
 
 view("weight_sql", """
@@ -156,44 +156,44 @@ FROM (SELECT *, CASE WHEN abs(pred_16q - gpr_pred) > 100 THEN 0 ELSE 0.15 * (pre
 
 
 @query("p14_tier_routing", """
-SELECT pdb_id, tier, round(pred_q_used, 9) AS pred_q_used, round(nudge, 9) AS nudge, round(pred_final, 9) AS pred_final FROM routed_sql""")
+SELECT pdb_id, tier, round(pred_q_used, 6) AS pred_q_used, round(nudge, 6) AS nudge, round(pred_final, 6) AS pred_final FROM routed_sql""")
 def _(t):
     return blending.route(weighted_rows(t), evals(t), evaluating=True).select(
-        "pdb_id", "tier", *rounded("pred_q_used", "nudge", "pred_final", digits=9))
+        "pdb_id", "tier", *rounded("pred_q_used", "nudge", "pred_final"))
 
 
 @query("p15_final_cascade", """
-SELECT pdb_id, round(CASE WHEN gap > 0 THEN (q - gpr_pred_raw) / 96.485 ELSE coalesce(pred_8q, q, gpr_pred_raw) END, 9) AS batch_value,
-       round(gpr_pred_raw + greatest(-cap, least(cap, 0.08 * (q - gpr_pred_raw))), 9) AS single_value
+SELECT pdb_id, round(CASE WHEN gap > 0 THEN (q - gpr_pred_raw) / 96.485 ELSE coalesce(pred_8q, q, gpr_pred_raw) END, 6) AS batch_value,
+       round(gpr_pred_raw + greatest(-cap, least(cap, 0.08 * (q - gpr_pred_raw))), 6) AS single_value
 FROM (SELECT *, CASE WHEN pdb_id % 4 <> 0 THEN st_gap END AS gap, pred_q AS q, CASE WHEN pdb_id % 2 = 0 THEN 10.0 ELSE 20.0 END AS cap FROM ev_sql)""")
 def _(t):
     key, q, gpr = F.col("pdb_id"), F.col("pred_q"), F.col("gpr_pred_raw")
     return evals(t).select(
         "pdb_id",
-        F.round(rules.final_batch(F.col("pred_8q"), q, gpr, F.when(key % 4 != 0, F.col("st_gap"))), 9).alias("batch_value"),
-        F.round(rules.final_single(F.col("pred_8q"), q, gpr, key % 2 == 0), 9).alias("single_value"))
+        F.round(rules.final_batch(F.col("pred_8q"), q, gpr, F.when(key % 4 != 0, F.col("st_gap"))), 6).alias("batch_value"),
+        F.round(rules.final_single(F.col("pred_8q"), q, gpr, key % 2 == 0), 6).alias("single_value"))
 
 
 @query("p16_fallback_blend", """
-SELECT pdb_id, used::INTEGER AS gpr_fallback_used, round(CASE WHEN used THEN 0.35 * gpr_pred_raw + 0.65 * local_pred ELSE gpr_pred_raw END, 9) AS gpr_blended
+SELECT pdb_id, used::INTEGER AS gpr_fallback_used, round(CASE WHEN used THEN 0.35 * gpr_pred_raw + 0.65 * local_pred ELSE gpr_pred_raw END, 6) AS gpr_blended
 FROM (SELECT *, abs(gpr_pred_raw - m) <= greatest(0.001, 0.01 * greatest(1.0, abs(m))) OR gpr_sigma >= q AS used
   FROM ev_sql, (SELECT avg(em) AS m, quantile_cont(gpr_sigma, 0.75) AS q FROM ev_sql))""")
 def _(t):
     rows = evals(t)
     return blending.with_fallback(rows, rows).select(
-        "pdb_id", "gpr_fallback_used", *rounded("gpr_blended", digits=9))
+        "pdb_id", "gpr_fallback_used", *rounded("gpr_blended"))
 
 
 @query("p17_prior_blend", """
 WITH tr AS (SELECT * FROM ev_sql WHERE pdb_id % 3 <> 0),
      a AS (SELECT uniprot_id, avg(em) AS m FROM tr GROUP BY 1), b AS (SELECT uniprot_id, cofactor, avg(em) AS m FROM tr GROUP BY ALL)
-SELECT pdb_id, round(p, 9) AS prior_em, p IS NOT NULL AS prior_used, round(CASE WHEN p IS NULL THEN gpr_pred_raw ELSE w * p + (1 - w) * gpr_pred_raw END, 9) AS gpr_prior
+SELECT pdb_id, round(p, 6) AS prior_em, p IS NOT NULL AS prior_used, round(CASE WHEN p IS NULL THEN gpr_pred_raw ELSE w * p + (1 - w) * gpr_pred_raw END, 6) AS gpr_prior
 FROM (SELECT e.*, coalesce(b.m, a.m) AS p, greatest(0.35, least(0.85, (gpr_sigma - 55) / 70)) AS w FROM ev_sql e LEFT JOIN a ON a.uniprot_id = e.uniprot_id
       LEFT JOIN b ON b.uniprot_id = e.uniprot_id AND b.cofactor = e.cofactor)""")
 def _(t):
     rows = evals(t)
     return blending.with_prior(rows, rows.where(F.col("pdb_id") % 3 != 0)).select(
-        "pdb_id", *rounded("prior_em", digits=9), "prior_used", *rounded("gpr_prior", digits=9))
+        "pdb_id", *rounded("prior_em"), "prior_used", *rounded("gpr_prior"))
 
 
 @query("p18_align_features", """
@@ -207,11 +207,11 @@ def _(t):
 
 
 @query("p32_global_guard", """
-SELECT pdb_id, m > 46.5 AS lock_applied, round(CASE WHEN m > 46.5 OR (m > 46.0 AND failure) THEN gpr_pred_raw ELSE pred_q END, 9) AS pred_guarded
+SELECT pdb_id, m > 46.5 AS lock_applied, round(CASE WHEN m > 46.5 OR (m > 46.0 AND failure) THEN gpr_pred_raw ELSE pred_q END, 6) AS pred_guarded
 FROM ev_sql, (SELECT avg(err_final) AS m FROM ev_sql)""")
 def _(t):
     return evaluation.global_guard(evals(t), F.col("failure"), final="pred_q", baseline="gpr_pred_raw").select(
-        "pdb_id", "lock_applied", *rounded("pred_guarded", digits=9))
+        "pdb_id", "lock_applied", *rounded("pred_guarded"))
 
 
 @query("p35_complete_rows", """
