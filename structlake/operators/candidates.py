@@ -29,7 +29,8 @@ def shells(atoms: DataFrame, primary: float = C.PRIMARY_RADIUS,
     """
     outer = max(primary, secondary or primary)
     sites = cofactor_sites(atoms, POSITION)
-    pairs = site_residue_pairs(atoms, sites, outer, POSITION)
+    # Read twice, for the scores and for the members: see pick_with_neighbours.
+    pairs = checkpoint(site_residue_pairs(atoms, sites, outer, POSITION, POSITION))
     site_columns = ["site_chain", "site_resi", "site_icode"]
     reach = {"inner": primary, "outer": outer}
     counted = pairs.groupBy("structure_id", *site_columns).agg(*(

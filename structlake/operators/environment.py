@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import residues as R
-from .sites import chosen_pairs, pick_site
+from .sites import pick_with_neighbours
 from .spatial import RESIDUE, residues
 
 
-def neighbour_residues(atoms: DataFrame, radius: float) -> tuple:
-    picked, pairs = pick_site(atoms, radius)
-    return picked, chosen_pairs(picked, pairs)
-
-
 def environment_features(atoms: DataFrame, radius: float = 6.0,
                          water_as_histidine: bool = True) -> DataFrame:
     """Isoelectric, hydrogen-bond and flexibility features per structure.
@@ -24,7 +19,7 @@ def environment_features(atoms: DataFrame, radius: float = 6.0,
     """
     if not water_as_histidine:
         atoms = atoms.where(F.col("resn") != "HOH")
-    picked, near = neighbour_residues(atoms, radius)
+    picked, near = pick_with_neighbours(atoms, radius)
     # Mean B-factor over all atoms of a residue, not only those in reach.
     b_means = residues(atoms).select(*RESIDUE, "b_mean")
     aa = R.aa_code(F.col("resn"))
@@ -55,7 +50,7 @@ def environment_features(atoms: DataFrame, radius: float = 6.0,
 
 def local_field(atoms: DataFrame, radius: float = 5.0) -> DataFrame:
     """Sums of electronegativity and steric index near the site."""
-    _, near = neighbour_residues(atoms, radius)
+    _, near = pick_with_neighbours(atoms, radius)
     aa = R.aa_code(F.col("resn"))
     sums = near.groupBy("structure_id").agg(
         F.sum(R.electronegativity(aa)).alias("lfp"),

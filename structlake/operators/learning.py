@@ -141,8 +141,12 @@ def fit_local_forest(train: DataFrame, target: str = "em", features=FEATURES,
     forest = RandomForestRegressor(
         featuresCol="_features", labelCol=target, predictionCol="local_pred",
         numTrees=trees, minInstancesPerNode=2, maxDepth=depth,
-        featureSubsetStrategy="all", seed=42)
-    return forest.fit(_assembled(train.dropna(subset=[*features, target]), features))
+        featureSubsetStrategy="all", maxMemoryInMB=1024, seed=42)
+    clean = train.select(*features, target).dropna()
+    # Every level of the trees passes over the rows, so spread them over all
+    # cores first; four columns are shuffled once.
+    spread = clean.repartition(train.sparkSession.sparkContext.defaultParallelism)
+    return forest.fit(_assembled(spread, features))
 
 
 def predict_local(model, rows: DataFrame, features=FEATURES) -> DataFrame:

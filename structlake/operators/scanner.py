@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C, residues as R
+from ..session import checkpoint
 
 RESIDUE_NAMES = ["structure_id", "resn", "chain", "resi"]
 
@@ -132,6 +133,16 @@ def pocket_distances(atoms: DataFrame, frame: DataFrame) -> DataFrame:
     )
 
 
+def audit_pockets(atoms: DataFrame, forced: str | None = None):
+    """Pocket frame and distances for callers that use them more than once.
+
+    The frame is one row per structure behind an aggregation of all atoms, so
+    it is checkpointed rather than computed again for every use.
+    """
+    frame = checkpoint(pocket_frame(atoms, forced))
+    return frame, pocket_distances(atoms, frame)
+
+
 def adenine_distance(atoms: DataFrame, frame: DataFrame) -> DataFrame:
     center = frame.where(F.col("center_type").isNotNull()).select(
         "structure_id", "cx", "cy", "cz")
@@ -143,7 +154,7 @@ def adenine_distance(atoms: DataFrame, frame: DataFrame) -> DataFrame:
 
 def resolve_cofactor(atoms: DataFrame, forced: str | None = None) -> DataFrame:
     """Final cofactor choice; adenine within 15 angstrom means FAD."""
-    frame = pocket_frame(atoms, forced)
+    frame = checkpoint(pocket_frame(atoms, forced))
     joined = frame.join(adenine_distance(atoms, frame), "structure_id", "left")
     linked = F.coalesce(F.col("adenine_distance") <= 15.0, F.lit(False))
     held = F.when(F.lit(forced or "").isin(*C.SCANNED_COFACTORS),

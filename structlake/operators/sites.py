@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.residues import is_cofactor
+from ..session import checkpoint
 from .spatial import POSITION, RESIDUE, pairs_within
 
 _NOT_NUMERIC = 10 ** 9
@@ -88,13 +89,24 @@ def representative_site(scored: DataFrame, site_key=RESIDUE) -> DataFrame:
         "best.cx", "best.cy", "best.cz", "best.n_atoms")
 
 
-def pick_site(atoms: DataFrame, radius: float, site_key=RESIDUE,
-              residue_key=None):
-    """Representative sites together with their residues in the radius."""
+def pick_site(atoms: DataFrame, radius: float, site_key=RESIDUE) -> DataFrame:
+    """Representative site of each structure."""
     sites = cofactor_sites(atoms, site_key)
-    pairs = site_residue_pairs(atoms, sites, radius, site_key,
-                               residue_key or site_key)
-    return representative_site(site_scores(pairs, sites, site_key), site_key), pairs
+    pairs = site_residue_pairs(atoms, sites, radius, site_key, site_key)
+    return representative_site(site_scores(pairs, sites, site_key), site_key)
+
+
+def pick_with_neighbours(atoms: DataFrame, radius: float, site_key=RESIDUE):
+    """Representative sites and, for each, its residues in the radius.
+
+    The pairs decide the pick and are then filtered by it.  They are a few per
+    cent of the atoms, and filters inferred on one of the two uses keep the
+    planner from sharing the range join, so they are cut by a checkpoint.
+    """
+    sites = cofactor_sites(atoms, site_key)
+    pairs = checkpoint(site_residue_pairs(atoms, sites, radius, site_key, site_key))
+    picked = representative_site(site_scores(pairs, sites, site_key), site_key)
+    return picked, chosen_pairs(picked, pairs, site_key)
 
 
 def chosen_pairs(picked: DataFrame, pairs: DataFrame, site_key=RESIDUE) -> DataFrame:
@@ -141,8 +153,8 @@ def shell_residues(atoms: DataFrame, radius: float, fallback: int = 24) -> DataF
 
     Where a structure has none in the radius, its ``fallback`` nearest ones.
     """
-    picked, pairs = pick_site(atoms, radius, POSITION)
-    inside = chosen_pairs(picked, pairs, POSITION).select(*POSITION, "min_dist")
+    picked, near = pick_with_neighbours(atoms, radius, POSITION)
+    inside = near.select(*POSITION, "min_dist")
     empty = picked.where(F.col("score") == 0)
     return inside.withColumn("fallback", F.lit(False)).unionByName(
         nearest_residues(atoms, empty, fallback).withColumn("fallback", F.lit(True)))

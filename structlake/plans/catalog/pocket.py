@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions import constants as C, residues as R, rules
 from ...operators import graph, scanner, spatial
+from ...session import checkpoint
 from ..registry import query, view
 from .structures import case_table, listed, rounded
 
@@ -85,8 +86,7 @@ UNION ALL SELECT structure_id, line_no, 'O4', 1.0 / (dist_o4 + 1e-3) FROM pocket
 
 
 def pocket(t):
-    frame = scanner.pocket_frame(t.atoms)
-    return frame, scanner.pocket_distances(t.atoms, frame)
+    return scanner.audit_pockets(t.atoms)
 
 
 @query("a12_detect_cofactor", "SELECT * FROM detect_sql")
@@ -238,15 +238,14 @@ SELECT structure_id, CAST(max(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS l
 FROM (SELECT structure_id, root, count(*) AS n FROM reach_sql GROUP BY ALL) GROUP BY 1""")
 
 
-def components(t, distances):
-    nodes = graph.tryptophan_nodes(t.atoms, scanner.proximal_residues(distances))
-    return graph.largest_component(nodes)
+def components(t, proximal):
+    return graph.largest_component(graph.tryptophan_nodes(t.atoms, proximal))
 
 
 @query("g01_tryptophan_component", "SELECT * FROM component_sql")
 def _(t):
     _frame, distances = pocket(t)
-    return components(t, distances)
+    return components(t, scanner.proximal_residues(distances))
 
 
 view("labels_sql", """
@@ -265,10 +264,10 @@ LEFT JOIN (SELECT structure_id, count(*) AS n_proximal, avg(CASE WHEN resn IN ('
 
 def labelled(t):
     _frame, distances = pocket(t)
-    proximal = scanner.proximal_residues(distances)
+    proximal = checkpoint(scanner.proximal_residues(distances))
     return scanner.label_structures(
         scanner.nearest_neighbour(distances), scanner.proximal_counts(proximal),
-        components(t, distances), F.col("structure_id") % 7 == 0)
+        components(t, proximal), F.col("structure_id") % 7 == 0)
 
 
 @query("p04_environment_label", """

@@ -69,7 +69,7 @@ def _(t):
     return good.unionByName(absent)
 
 
-@query("s10_append_log")
+@query("s10_append_log", "SELECT label, count(*) AS n, count(*) FILTER (seq % 2 = 1) AS n_second FROM log_fx GROUP BY 1")
 def _(t):
     path = scratch_path(t)
     expected = ["seq", "profile_id", "label", "value"]
@@ -79,7 +79,7 @@ def _(t):
         F.count("*").alias("n"), F.count("gpr_sigma").alias("n_second"))
 
 
-@query("s11_overwrite_table")
+@query("s11_overwrite_table", "SELECT count(*) AS n, max(seq) AS last FROM log_fx WHERE seq % 2 = 0")
 def _(t):
     path = scratch_path(t)
     sinks.overwrite_table(t.log.select("seq", "value"), path)
@@ -87,7 +87,7 @@ def _(t):
     return t.spark.read.parquet(path).agg(F.count("*").alias("n"), F.max("seq").alias("last"))
 
 
-@query("s12_last_row_per_profile")
+@query("s12_last_row_per_profile", "SELECT count(DISTINCT profile_id) AS n, count(DISTINCT profile_id) AS n_profiles FROM log_fx")
 def _(t):
     path = scratch_path(t)
     sinks.overwrite_table(profiles.latest_per_key(t.log, "profile_id"), path)

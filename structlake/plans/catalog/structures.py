@@ -179,7 +179,7 @@ def _(t):
 SELECT structure_id, chain, resi, icode, resn, score, round(cx, 6) AS cx, round(cy, 6) AS cy, round(cz, 6) AS cz
 FROM pick6_sql""")
 def _(t):
-    picked, _pairs = sites.pick_site(t.atoms, 6.0)
+    picked = sites.pick_site(t.atoms, 6.0)
     return picked.select(*spatial.RESIDUE, "score", *rounded("cx", "cy", "cz"))
 
 
@@ -188,7 +188,7 @@ SELECT a.structure_id, a.chain, a.resi, a.icode, a.resn,
        round(min(sqrt((a.x - k.cx) * (a.x - k.cx) + (a.y - k.cy) * (a.y - k.cy) + (a.z - k.cz) * (a.z - k.cz))), 6) AS min_dist
 FROM pick6_sql k JOIN atoms_fx a ON a.structure_id = k.structure_id AND a.resn NOT IN {COF} GROUP BY ALL""")
 def _(t):
-    picked, _pairs = sites.pick_site(t.atoms, 6.0)
+    picked = sites.pick_site(t.atoms, 6.0)
     return sites.residue_distances(t.atoms, picked).select(
         *spatial.RESIDUE, *rounded("min_dist"))
 
@@ -199,8 +199,8 @@ def _(t):
 def _(t):
     out = None
     for radius in (5, 6, 8, 12):
-        picked, pairs = sites.pick_site(t.atoms, float(radius))
-        part = sites.chosen_pairs(picked, pairs).select(
+        _picked, near = sites.pick_with_neighbours(t.atoms, float(radius))
+        part = near.select(
             F.lit(radius).alias("radius"), *spatial.RESIDUE, *rounded("min_dist"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -106,7 +106,10 @@ FIXTURES = {
     "atoms_fx": ATOMS_FX, "lines_fx": LINES_FX, "mutlist_fx": MUTLIST_FX,
     "eval_fx": EVAL_FX, "log_fx": LOG_FX, "curve_fx": CURVE_FX,
 }
-_TABLES = ("lineitem", "supplier", "orders", "events", "embeddings")
+# Below the first size one task is enough; above the second per core the
+# reader makes enough splits by itself.
+_TINY_BYTES = 512 * 1024
+_SPLIT_BYTES = 4 * 1024 * 1024
 
 
 class Tables:
@@ -117,7 +120,18 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A table; one too small to be split by the reader is spread out.
+
+        The size is the one the optimizer knows for the files.  Tables beyond
+        a few megabytes per core are left as the reader splits them, so a
+        large table is never shuffled here.
+        """
+        frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        size = int(str(frame._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+        if _TINY_BYTES < size < cores * _SPLIT_BYTES:
+            return frame.repartition(cores)
+        return frame
 
     def _view(self, sql: str, **frames: DataFrame) -> DataFrame:
         for name in frames:
