@@ -33,6 +33,41 @@ def candidate_score(wt: Column, mut: Column, distance: Column,
             - 0.10 * F.greatest(F.lit(0.0), burial - F.lit(8.0)))
 
 
+def site_term(distance: Column, burial: Column) -> Column:
+    """The part of :func:`candidate_score` that all choices of a site share."""
+    near = F.greatest(F.lit(0.0), 1.0 - F.least(distance, F.lit(12.0)) / 12.0)
+    return 0.90 * near - 0.10 * F.greatest(F.lit(0.0), burial - F.lit(8.0))
+
+
+def _pair_term(wt: str, mut: str) -> float:
+    bulk = (C.STERIC_INDEX.get(mut, C.DEFAULT_STERIC_INDEX)
+            - C.STERIC_INDEX.get(wt, C.DEFAULT_STERIC_INDEX))
+    shift = C.ELECTRONEGATIVITY.get(mut, 0.0) - C.ELECTRONEGATIVITY.get(wt, 0.0)
+    bonus = (0.45 * (mut in C.AROMATIC) + 0.18 * (mut in C.POLAR)
+             + 0.12 * (mut in ("K", "R")))
+    return 1.35 * shift + bonus - 0.20 * abs(bulk)
+
+
+def best_choices(wt: Column, burial: Column, count: int) -> Column:
+    """The ``count`` best substitutions as an array of ``(mut, pair_score)``.
+
+    Distance and burial move all choices of a site alike, so the order depends
+    on the wild type and the choice set alone: two dozen short lists, kept as
+    map literals, instead of scoring and sorting fifteen choices per row.
+    """
+    def ranked(aa, choices):
+        scored = sorted((-round(_pair_term(aa, m), 9), m) for m in choices if m != aa)
+        return F.array(*(F.struct(F.lit(m).alias("mut"), F.lit(_pair_term(aa, m)).alias("pair_score"))
+                         for _s, m in scored[:count]))
+
+    def table(choices):
+        known = F.create_map(*(item for aa in C.CANONICAL_AA
+                               for item in (F.lit(aa), ranked(aa, choices))))
+        return F.coalesce(known[wt], ranked("", choices))
+
+    return F.when(burial > 6, table(_BURIED_CHOICES)).otherwise(table(_OPEN_CHOICES))
+
+
 def brightness_gain(mut: Column) -> Column:
     return (F.lit(2.0)
             + F.when(mut.isin("K", "R"), 1.0).otherwise(0.0)

@@ -15,8 +15,13 @@ from .spatial import POSITION, burial
 
 
 def residue_names(atoms: DataFrame) -> DataFrame:
-    """Residue name at each position: the one on its first line."""
-    return atoms.groupBy(*POSITION).agg(F.min_by("resn", "line_no").alias("resn"))
+    """Residue name at each position: the one on its first line.
+
+    The first aggregation has primitive buffers and folds the atoms on the map
+    side; choosing among names is left to the residue-sized second one.
+    """
+    named = atoms.groupBy(*POSITION, "resn").agg(F.min("line_no").alias("line"))
+    return named.groupBy(*POSITION).agg(F.min_by("resn", "line").alias("resn"))
 
 
 def shells(atoms: DataFrame, primary: float = C.PRIMARY_RADIUS,
@@ -98,25 +103,14 @@ def candidate_sites(atoms: DataFrame, exclusions: DataFrame | None = None,
 
 def site_substitutions(sites: DataFrame, per_site: int = C.SITE_SUBSTITUTIONS
                        ) -> DataFrame:
-    """The best substitutions of each site, ranked inside its row.
-
-    A site has at most fifteen choices, so they are scored, sorted and cut in
-    an array: no window and no shuffle.
-    """
-    def scored(mut):
-        token = F.concat(F.col("chain"), F.lit(":"), F.col("wt"), F.col("resi"),
-                         F.trim("icode"), mut)
-        score = scoring.candidate_score(
-            F.col("wt"), mut, F.col("min_dist"), F.col("burial")) - F.col("penalty")
-        return F.struct((-F.round(score, 9)).alias("rank"), token.alias("token"),
-                        mut.alias("mut"), score.alias("score"))
-
-    choices = F.array_sort(F.transform(
-        scoring.allowed_substitutions(F.col("wt"), F.col("burial")), scored))
-    return (
-        sites.withColumn("_s", F.explode(F.slice(choices, 1, per_site)))
-        .select(*POSITION, "wt", "min_dist", "burial", "_s.mut", "_s.token", "_s.score")
-    )
+    """The best substitutions of each site, chosen inside its row."""
+    choices = scoring.best_choices(F.col("wt"), F.col("burial"), per_site)
+    score = (F.col("_s.pair_score")
+             + scoring.site_term(F.col("min_dist"), F.col("burial")) - F.col("penalty"))
+    token = F.concat("chain", F.lit(":"), "wt", "resi", F.trim("icode"), "_s.mut")
+    return sites.withColumn("_s", F.explode(choices)).select(
+        *POSITION, "wt", "min_dist", "burial", "_s.mut",
+        token.alias("token"), score.alias("score"))
 
 
 def best_per_token(candidates: DataFrame) -> DataFrame:
@@ -151,5 +145,6 @@ def candidate_pool(atoms: DataFrame, exclusions: DataFrame | None = None,
                    primary: float = C.PRIMARY_RADIUS,
                    secondary: float | None = C.SECONDARY_RADIUS,
                    per_site: int = C.SITE_SUBSTITUTIONS) -> DataFrame:
-    sites = candidate_sites(atoms, exclusions, primary, secondary)
-    return best_per_token(site_substitutions(sites, per_site))
+    # The shells do not overlap, so no token occurs twice here.
+    return site_substitutions(
+        candidate_sites(atoms, exclusions, primary, secondary), per_site)

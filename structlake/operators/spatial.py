@@ -106,18 +106,17 @@ def burial(atoms: DataFrame, key=POSITION, radius: float = 6.0,
     for name in names:
         same = same & (F.col(name) == F.col(f"other_{name}"))
     # Distinct (residue, neighbour) first: it combines before its shuffle, so
-    # a residue with many close atoms ships one row.
+    # a residue with many close atoms ships one row.  Residues without any
+    # neighbour enter as zero rows of the same aggregation, not by a join.
     near = (
         pairs_within(centers, others, radius, strict=True)
         .where(~same)
         .select(*key, *(f"other_{n}" for n in names))
         .distinct()
-        .groupBy(*key).agg(F.count("*").alias("burial"))
-    )
-    return (
-        centers.select(*key).join(near, key, "left")
-        .withColumn("burial", F.coalesce("burial", F.lit(0)))
+        .select(*key, F.lit(1).alias("n"))
     )
+    listed = measured.select(*key).distinct().withColumn("n", F.lit(0))
+    return near.unionByName(listed).groupBy(*key).agg(F.sum("n").alias("burial"))
 
 
 def clash_pairs(atoms: DataFrame, targets: DataFrame, near: float = 6.0,

@@ -138,8 +138,7 @@ SELECT structure_id, chain AS default_chain, n AS atom_count FROM (SELECT *, row
 
 
 def index(t):
-    return t.atoms.groupBy("structure_id", "chain", "resi", "icode").agg(
-        F.min_by("resn", "line_no").alias("resn"), F.count("*").alias("atom_count"))
+    return text.index_residues(t.atoms)
 
 
 @query("a11_default_chain", "SELECT * FROM default_chain_sql")

@@ -21,10 +21,10 @@ SELECT l_suppkey AS structure_id,
        split_part('ALA,ARG,ASN,ASP,CYS,GLN,GLU,GLY,HIS,ILE,LEU,LYS,MET,PHE,PRO,SER,THR,TRP,TYR,VAL,HOH,FMN,FAD', ',',
                   CAST((l_partkey % 60) % 23 AS INT) + 1) AS resn,
        l_returnflag AS chain, CAST(l_partkey % 60 AS VARCHAR(8)) AS resi, ' ' AS icode,
-       round(l_quantity + (CAST(round(l_extendedprice * 100) AS BIGINT) % 100) / CAST(100 AS DOUBLE), 3) AS x,
-       round(l_discount * 500 + (l_orderkey % 10) / CAST(10 AS DOUBLE), 3) AS y,
-       round(l_tax * 500 + (l_partkey % 10) / CAST(10 AS DOUBLE), 3) AS z,
-       round(5 + l_discount * 500, 2) AS b_factor,
+       (CAST(l_quantity AS BIGINT) * 100 + CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) % 100) / CAST(100 AS DOUBLE) AS x,
+       (CAST(floor(l_discount * 100 + 0.5) AS BIGINT) * 50 + l_orderkey % 10) / CAST(10 AS DOUBLE) AS y,
+       (CAST(floor(l_tax * 100 + 0.5) AS BIGINT) * 50 + l_partkey % 10) / CAST(10 AS DOUBLE) AS z,
+       CAST(CAST(floor(l_discount * 100 + 0.5) AS BIGINT) * 5 + 5 AS DOUBLE) AS b_factor,
        substring(split_part('N,CA,C,O,CB,N5,SG', ',', CAST(l_linenumber AS INT)), 1, 1) AS element
 FROM lineitem
 """

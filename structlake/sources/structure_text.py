@@ -105,14 +105,23 @@ def residue_index(lines: DataFrame) -> DataFrame:
     The name is the one on the first line of the residue.
     """
     fields = record_fields()
-    return (
-        lines.where(is_coordinate_record(F.col("value")))
-        .select("structure_id", "line_no",
-                *(fields[c].alias(c) for c in ("chain", "resi", "icode", "resn")))
-        .groupBy("structure_id", "chain", "resi", "icode")
-        .agg(F.min_by("resn", "line_no").alias("resn"),
-             F.count("*").alias("atom_count"))
-    )
+    return index_residues(
+        lines.where(is_coordinate_record(F.col("value"))).select(
+            "structure_id", "line_no",
+            *(fields[c].alias(c) for c in ("chain", "resi", "icode", "resn"))))
+
+
+def index_residues(records: DataFrame) -> DataFrame:
+    """Name and atom count per position, folded by name first.
+
+    The first aggregation has primitive buffers, so it hashes on the map side;
+    the second one sees residues, not atoms.
+    """
+    position = ["structure_id", "chain", "resi", "icode"]
+    named = records.groupBy(*position, "resn").agg(
+        F.min("line_no").alias("line"), F.count("*").alias("n"))
+    return named.groupBy(*position).agg(
+        F.min_by("resn", "line").alias("resn"), F.sum("n").alias("atom_count"))
 
 
 def header_ids(lines: DataFrame) -> DataFrame:
