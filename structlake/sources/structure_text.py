@@ -27,6 +27,11 @@ def read_structure_lines(spark: SparkSession, path: str,
         .option("recursiveFileLookup", "true").text(path)
         .select("value", "_metadata.file_path", "_metadata.file_block_start")
     )
+    return number_lines(text)
+
+
+def number_lines(text: DataFrame) -> DataFrame:
+    """Line table from ``(value, file_path, file_block_start)`` rows."""
     stem = F.regexp_extract("file_path", r"([^/]+)\.[^./]+$", 1)
     row = F.monotonically_increasing_id().bitwiseAND(
         F.lit((1 << _ROW_BITS) - 1))

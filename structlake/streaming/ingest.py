@@ -6,27 +6,31 @@ run unchanged on a stream, and the append-only log is fed batch by batch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.sinks import append_log
+from ..sources.structure_text import number_lines
 
 
-def stream_structure_lines(spark: SparkSession, path: str,
-                           glob: str = "*.{pdb,ent}") -> DataFrame:
-    """Lines of structure files as they arrive in a folder."""
-    text = spark.readStream.option("pathGlobFilter", glob).text(path).select(
+def stream_structure_text(spark: SparkSession, path: str,
+                          glob: str = "*.{pdb,ent}") -> DataFrame:
+    """Text rows of structure files as they arrive in a folder."""
+    return spark.readStream.option("pathGlobFilter", glob).text(path).select(
         "value", "_metadata.file_path", "_metadata.file_block_start")
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return text.select(
-        F.regexp_extract("file_path", r"([^/]+)\.[^./]+$", 1).alias("structure_id"),
-        F.shiftleft("file_block_start", 33).bitwiseOR(row).alias("line_no"), "value")
 
 
 def append_stream(stream: DataFrame, path: str, checkpoint: str,
+                  prepare: Callable[[DataFrame], DataFrame] = number_lines,
                   expected: list[str] | None = None):
-    """Append every micro-batch to the log; run until no new data is left."""
+    """Append every micro-batch to the log; run until no new data is left.
+
+    ``prepare`` turns a batch into log rows.  Lines are numbered there because
+    row numbering is not defined on a stream.
+    """
     def write(batch: DataFrame, _batch_id: int) -> None:
-        append_log(batch, path, expected)
+        append_log(prepare(batch), path, expected)
 
     return (stream.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint)
