@@ -115,7 +115,8 @@ def burial(atoms: DataFrame, key=POSITION, radius: float = 6.0,
         .distinct()
         .select(*key, F.lit(1).alias("n"))
     )
-    listed = measured.select(*key).distinct().withColumn("n", F.lit(0))
+    asked = atoms if of is None else of
+    listed = asked.select(*key).distinct().withColumn("n", F.lit(0))
     return near.unionByName(listed).groupBy(*key).agg(F.sum("n").alias("burial"))
 
 
