@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import mixing, pii, quality, shards
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,21 @@ def query(name: str):
     return register
 
 
+@query("op2_pii")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data_report(table(spark, folder, "documents"))
+
+
+@query("op4_mixing")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_report(table(spark, folder, "documents"))
+
+
+@query("op5_sharding")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.shard_report(table(spark, folder, "documents"))
+
+
 @query("op9_quality_rules")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
