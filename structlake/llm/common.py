@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+# Functions for executors travel with the job, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 #: A word is a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"

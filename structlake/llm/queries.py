@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, quality, shards
+from . import mixing, pii, quality, shards, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return shards.shard_report(table(spark, folder, "documents"))
 
 
+@query("op7_simhash_near_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicate_report(table(spark, folder, "documents"))
+
+
 @query("op9_quality_rules")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
