@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, quality, shards, simhash
+from . import decontaminate, mixing, pii, quality, shards, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_quality_rules")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op10_decontamination")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
