@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, pii, quality, shards, simhash
+from . import decontaminate, langid, mixing, pii, quality, secrets_crf, shards, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data_report(table(spark, folder, "documents"))
 
 
+@query("op3_language_id")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.language_report(table(spark, folder, "documents"))
+
+
 @query("op4_mixing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(table(spark, folder, "documents"))
@@ -40,6 +45,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, folder, "documents"))
 
 
+@query("op8_secret_scan")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets_crf.secret_report(table(spark, folder, "documents"))
+
+
 @query("op9_quality_rules")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
