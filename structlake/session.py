@@ -25,15 +25,30 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return session
 
 
-def checkpoint(frame: DataFrame) -> DataFrame:
-    """Cut lineage into the shared checkpoint folder the cluster names.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    The folder is read from ``spark.checkpoint.dir``; only where the session
-    names none (tests on one machine) is a temporary one set.
+    Where the session names none, a local master (tests, one machine) gets a
+    folder of its own; on a cluster that would be a folder of the driver, which
+    executors do not see, so it is refused.
     """
-    spark = frame.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if not context.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(frame: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder; runs a job."""
+    spark = frame.sparkSession
+    folder = checkpoint_folder(spark)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(folder)
     return frame.checkpoint(eager=True)
