@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, pii, quality, secrets_crf, shards, simhash
+from . import decontaminate, langid, maxent, mixing, pii, quality, secrets_crf, shards, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,11 @@ def query(name: str):
     return register
 
 
+@query("op1_lm_scoring")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return maxent.score(table(spark, folder, "documents"))
+
+
 @query("op2_pii")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data_report(table(spark, folder, "documents"))
