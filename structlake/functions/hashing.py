@@ -35,11 +35,16 @@ def digest_words(digest: Column) -> list[Column]:
             for i in range(_WORDS)]
 
 
+def placed_words(place: str, text: Column) -> list[Column]:
+    """Words of the digest of a text together with its place in the order."""
+    return digest_words(F.sha2(F.concat(F.col(place).cast("string"), F.lit("|"), text), 256))
+
+
 def multiset_digest(words: list[Column], count: Column) -> Column:
     """SHA-256 over summed row words and the row count.
 
     Sums combine on the map side, so a group of any size is hashed without
-    being gathered.  The rows' order does not enter; put it in their text.
+    being gathered.  Order enters through the place in each row's text (``placed_words``).
     """
     sums = [F.sum(w.cast("decimal(38,0)")).cast("string") for w in words]
     return F.sha2(F.concat_ws("|", *sums, count.cast("string")), 256)

@@ -206,7 +206,7 @@ def routed_prediction(prediction: Column, quantum_large: Column,
     escalate = should_escalate(complexity_score, sigma)
     return {
         "tier": F.when(is_miss, "hybrid_16q").when(escalate, "hybrid_8q")
-        .otherwise("uhf_quantum"),
+        .when(weight > 0, "uhf_16q_active").otherwise("uhf_quantum"),
         "pred_q_used": F.when(is_miss, quantum_large).when(escalate, pulled)
         .otherwise(quantum_large),
         "nudge": F.when(is_miss, miss_nudge).when(escalate, small_nudge)
@@ -235,6 +235,11 @@ def final_single(pred_final: Column, pred_q: Column, prediction: Column,
     ).otherwise(first_finite(pred_final, pred_q))
 
 
+def calibrated_tier(tier: Column) -> Column:
+    """Tier of a single-structure value."""
+    return F.concat(tier, F.lit("|single_calibrated"))
+
+
 def mutation_adjusted(iso: Column, hb: Column, flex: Column, lfp: Column,
                       steric: Column, n_mutations: Column) -> dict[str, Column]:
     return {

@@ -57,36 +57,39 @@ def with_complexity(rows: DataFrame, train: DataFrame) -> DataFrame:
 def with_quantum_weight(rows: DataFrame, train: DataFrame,
                         is_failure: Column) -> DataFrame:
     """Add the applicability-domain flag and the quantum weight."""
-    median = exact_quantiles(train, ["gpr_sigma"], [0.5])["gpr_sigma"][0]
+    median = one_row(exact_quantiles(train, ["gpr_sigma"], [0.5])).gpr_sigma[0]
     s = F.col("_success")
     inside = (
         rules.within_half_sd(F.col("flex"), s.flex_mean, s.flex_sd)
         & rules.within_half_sd(F.col("hb_cap"), s.hb_cap_mean, s.hb_cap_sd)
         & rules.within_half_sd(F.col("gpr_sigma"), s.sigma_mean, s.sigma_sd))
     return (
-        rows.withColumn("_success", one_row(success_stats(train)))
+        rows.withColumns({"_success": one_row(success_stats(train)), "_median": median})
         .withColumn("in_domain", inside)
         .withColumn("quantum_weight", rules.quantum_weight(
             F.col("in_domain"), F.col("complexity"), F.col("gpr_sigma"),
-            F.lit(median), is_failure))
+            F.col("_median"), is_failure))
         .withColumn("success_em_mean", s.em_mean)
-        .drop("_success"))
+        .drop("_success", "_median"))
 
 
 def worst_misses(train: DataFrame, k: int = C.WORST_MISSES) -> DataFrame:
-    """Ids of the ``k`` largest baseline errors."""
+    """Upper-case ids of the ``k`` rows with the largest baseline errors, each id once."""
     return (
         train.select("pdb_id", F.abs(F.col("em") - F.col("gpr_pred_raw")).alias("err"))
-        .orderBy(F.desc("err"), "pdb_id").limit(k).select("pdb_id"))
+        .orderBy(F.desc("err"), "pdb_id").limit(k)
+        .select(F.upper(F.col("pdb_id").cast("string")).alias("id_upper")).distinct())
 
 
 def route(rows: DataFrame, train: DataFrame, evaluating: bool = False) -> DataFrame:
     """Tier routing of prepared rows with ``pred_8q`` and ``pred_16q``.
 
-    The list of misses has a fixed length, so it is broadcast.
+    The list of misses has a fixed length, so it is broadcast.  Ids may repeat
+    and differ in case: each row stays one row.
     """
     misses = worst_misses(train).withColumn("is_miss", F.lit(True))
-    marked = rows.join(F.broadcast(misses), "pdb_id", "left")
+    marked = rows.withColumn("id_upper", F.upper(F.col("pdb_id").cast("string"))).join(
+        F.broadcast(misses), "id_upper", "left").drop("id_upper")
     routed = rules.routed_prediction(
         F.col("gpr_pred"), F.col("pred_16q"), F.col("pred_8q"), F.col("flex"),
         F.col("complexity"), F.col("gpr_sigma"),
@@ -98,14 +101,14 @@ def route(rows: DataFrame, train: DataFrame, evaluating: bool = False) -> DataFr
 
 def with_fallback(rows: DataFrame, train: DataFrame) -> DataFrame:
     """Blend in the local model where the regression collapsed."""
-    high = exact_quantiles(train, ["gpr_sigma"], [0.75])["gpr_sigma"][0]
+    high = one_row(exact_quantiles(train, ["gpr_sigma"], [0.75])).gpr_sigma[0]
     mean_em = one_row(train.agg(F.avg("em").alias("em"))).em
-    with_mean = rows.withColumn("_mean_em", mean_em)
+    with_mean = rows.withColumns({"_mean_em": mean_em, "_high": high})
     value, used = rules.fallback_blend(
         F.col("gpr_pred_raw"), F.col("local_pred"), F.col("gpr_sigma"),
-        F.col("_mean_em"), F.lit(high))
+        F.col("_mean_em"), F.col("_high"))
     return with_mean.withColumns(
-        {"gpr_blended": value, "gpr_fallback_used": used}).drop("_mean_em")
+        {"gpr_blended": value, "gpr_fallback_used": used}).drop("_mean_em", "_high")
 
 
 def with_prior(rows: DataFrame, train: DataFrame) -> DataFrame:

@@ -136,9 +136,16 @@ def rank_candidates(candidates: DataFrame, cap: int | None = None) -> DataFrame:
 
 
 def existing_candidates(candidates: DataFrame, names: DataFrame) -> DataFrame:
-    """Keep candidates whose position exists with the stated wild type."""
-    present = names.select(*POSITION, R.aa_code_modified(F.col("resn")).alias("wt"))
-    return candidates.join(present, [*POSITION, "wt"], "left_semi")
+    """Keep candidates whose position exists with the stated wild type.
+
+    A position whose insertion code is not in the structure is looked up again
+    with a blank one.
+    """
+    aa = R.aa_code_modified(F.col("resn"))
+    exact = names.select(*POSITION, aa.alias("_exact"))
+    blank = names.where(F.col("icode") == " ").select(*POSITION[:-1], aa.alias("_blank"))
+    found = candidates.join(exact, POSITION, "left").join(blank, POSITION[:-1], "left")
+    return found.where(F.coalesce("_exact", "_blank") == F.col("wt")).select(*candidates.columns)
 
 
 def candidate_pool(atoms: DataFrame, exclusions: DataFrame | None = None,

@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, functions as F
 def spike_metrics(curves: DataFrame) -> DataFrame:
     """Amplitude and the angles of maximum and minimum, first angle on ties.
 
-    Extremes of ordered structs: combines before the shuffle.
+    Two hash aggregations with primitive buffers: the extremes, then the first
+    angle at each of them.
     """
-    best = curves.groupBy("curve_id").agg(
-        F.max(F.struct("phi", (-F.col("theta")).alias("t"))).alias("high"),
-        F.min(F.struct("phi", F.col("theta").alias("t"))).alias("low"))
-    return best.select(
-        "curve_id", (F.col("high.phi") - F.col("low.phi")).alias("spike_amp"),
-        (-F.col("high.t")).alias("theta_at_max"), F.col("low.t").alias("theta_at_min"))
+    ends = curves.groupBy("curve_id").agg(F.max("phi").alias("high"), F.min("phi").alias("low"))
+    at = curves.join(ends, "curve_id")
+
+    def first_at(value: str):
+        return F.min(F.when(F.col("phi").eqNullSafe(F.col(value)), F.col("theta")))
+
+    return at.groupBy("curve_id").agg(
+        (F.max("high") - F.min("low")).alias("spike_amp"),
+        first_at("high").alias("theta_at_max"), first_at("low").alias("theta_at_min"))
 
 
 def closure_error(curves: DataFrame, phi_s: str = "phi_s", phi_t: str = "phi_t") -> DataFrame:

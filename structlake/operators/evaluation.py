@@ -14,12 +14,13 @@ from .quantiles import exact_quantiles
 
 def column_stats(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, population deviation and exact median per column."""
-    medians = exact_quantiles(rows, columns, [0.5])
+    medians = one_row(exact_quantiles(rows, columns, [0.5]))
     wide = rows.agg(*(F.struct(
         F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"),
-        F.stddev_pop(c).alias("sd"), F.lit(medians[c][0]).cast("double").alias("median"),
-    ).alias(c) for c in columns))
-    return wide.select(F.inline(F.array(*columns)))
+        F.stddev_pop(c).alias("sd"),
+    ).alias(c) for c in columns)).withColumn("_medians", medians)
+    return wide.select(F.inline(F.array(*(
+        F.col(c).withField("median", F.col("_medians")[c][0]) for c in columns))))
 
 
 def regression_metrics(rows: DataFrame, models: dict[str, str],
@@ -34,15 +35,15 @@ def regression_metrics(rows: DataFrame, models: dict[str, str],
         for m, c in models.items() for s, test in subsets.items()}.values(),
         *(F.when(test, F.col(truth)).alias(f"_t_{s}") for s, test in subsets.items()))
     names = [(m, s) for m in models for s in subsets]
-    medians = exact_quantiles(prepared, [f"_e_{m}_{s}" for m, s in names], [0.5])
+    medians = one_row(exact_quantiles(prepared, [f"_e_{m}_{s}" for m, s in names], [0.5]))
     wide = prepared.agg(*(F.struct(
         F.lit(m).alias("model"), F.lit(s).alias("subset"),
         F.count(f"_e_{m}_{s}").alias("n"), F.avg(f"_e_{m}_{s}").alias("mae"),
-        F.lit(medians[f"_e_{m}_{s}"][0]).cast("double").alias("medae"),
         (1.0 - F.avg(F.col(f"_e_{m}_{s}") * F.col(f"_e_{m}_{s}"))
          / F.nullif(F.var_pop(f"_t_{s}"), F.lit(0.0))).alias("r2"),
-    ).alias(f"{m}_{s}") for m, s in names))
-    return wide.select(F.inline(F.array(*(f"{m}_{s}" for m, s in names))))
+    ).alias(f"{m}_{s}") for m, s in names)).withColumn("_medians", medians)
+    return wide.select(F.inline(F.array(*(
+        F.col(f"{m}_{s}").withField("medae", F.col("_medians")[f"_e_{m}_{s}"][0]) for m, s in names))))
 
 
 def hit_counts(rows: DataFrame, baseline: str, final: str) -> DataFrame:
@@ -59,13 +60,15 @@ def hit_counts(rows: DataFrame, baseline: str, final: str) -> DataFrame:
 
 
 def success_contrast(rows: DataFrame, final: str) -> DataFrame:
-    """Feature means of successes and failures; rows in between are left out."""
-    group = F.when(F.col(final) < C.BENCHMARK_ACCURACY, "success_lt36").when(
-        F.col(final) > C.FAILURE_ERROR, "failure_gt80")
-    return rows.withColumn("group", group).where(F.col("group").isNotNull()).groupBy(
-        "group").agg(F.count("*").alias("n"), F.avg("flex").alias("mean_flexibility"),
-                     F.avg("hb_cap").alias("mean_hbondcap"),
-                     F.avg("gpr_sigma").alias("mean_sigma"))
+    """Feature means of successes and failures, both always; rows in between are left out."""
+    groups = {"success_lt36": F.col(final) < C.BENCHMARK_ACCURACY,
+              "failure_gt80": F.col(final) > C.FAILURE_ERROR}
+    means = {"mean_flexibility": "flex", "mean_hbondcap": "hb_cap", "mean_sigma": "gpr_sigma"}
+    wide = rows.agg(*(F.struct(
+        F.lit(name).alias("group"), F.count_if(test).alias("n"),
+        *(F.avg(F.when(test, F.col(c))).alias(out) for out, c in means.items()),
+    ).alias(name) for name, test in groups.items()))
+    return wide.select(F.inline(F.array(*groups)))
 
 
 def correlations(rows: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -104,10 +107,12 @@ def two_sided_p(t: float, n: int) -> float:
 
 def magnetic_candidates(rows: DataFrame, gap: str, spin: str, spin2: str) -> DataFrame:
     """Flag rows in the low tail of the gap and the high tail of both spins."""
-    cut = exact_quantiles(rows, [gap, spin, spin2], [0.1, 0.9])
+    cut = F.col("_cut")
     flag = ((F.col(gap) <= cut[gap][0]) & (F.col(spin) >= cut[spin][1])
             & (F.col(spin2) >= cut[spin2][1]))
-    return rows.withColumn("candidate", F.coalesce(flag, F.lit(False)))
+    limits = one_row(exact_quantiles(rows, [gap, spin, spin2], [0.1, 0.9]))
+    return rows.withColumn("_cut", limits).withColumn(
+        "candidate", F.coalesce(flag, F.lit(False))).drop("_cut")
 
 
 def join_flag(rows: DataFrame, flags: DataFrame, key: str, flag: str) -> DataFrame:

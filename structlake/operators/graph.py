@@ -6,8 +6,8 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import checkpoint
 from . import spatial
+from .components import connected_components
 from .scanner import RESIDUE_NAMES
 
 
@@ -21,15 +21,13 @@ def tryptophan_nodes(atoms: DataFrame, proximal: DataFrame) -> DataFrame:
              "cx", "cy", "cz")
 
 
-def largest_component(nodes: DataFrame, link: float = 10.0,
-                      max_rounds: int = 64) -> DataFrame:
+def largest_component(nodes: DataFrame, link: float = 10.0) -> DataFrame:
     """Size of the largest linked group of each structure (0 without a link).
 
     Points in one grid cell whose diagonal is below ``link`` are linked by
     construction, so the graph is built between *cells*: its size is bounded
-    by the volume the points fill, not by their number, and no point pair
-    leaves the join.  Labels then spread over the cell graph, cut after each
-    round by a reliable checkpoint.
+    by the volume the points fill, not by their number.  Point pairs within
+    the radius are joined and at once reduced to pairs of cells.
     """
     edge = link / math.sqrt(3.0) * 0.9999
     placed = spatial.with_cell(
@@ -45,25 +43,14 @@ def largest_component(nodes: DataFrame, link: float = 10.0,
         .where(F.col("from_box") != F.col("box"))
         .select("structure_id", "from_box", "box").distinct()
     )
-    sizes = points.groupBy("structure_id", "box").agg(F.count("*").alias("n"))
-    labels = checkpoint(sizes.withColumn("label", F.col("box")))
-    arcs = checkpoint(arcs)
-    for _round in range(max_rounds):
-        offers = arcs.join(
-            labels.select("structure_id", F.col("box").alias("from_box"),
-                          F.col("label").alias("offer")),
-            ["structure_id", "from_box"],
-        ).groupBy("structure_id", "box").agg(F.min("offer").alias("offer"))
-        spread = checkpoint(
-            labels.join(offers, ["structure_id", "box"], "left").select(
-                "structure_id", "box", "n",
-                F.least("label", F.coalesce("offer", "label")).alias("label"),
-                (F.coalesce("offer", "label") < F.col("label")).alias("moved")))
-        labels = spread.drop("moved")
-        if not spread.where("moved").take(1):
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    # Cells are named by structure and place; components never cross structures.
+    def cell(box: str):
+        return F.struct("structure_id", F.col(box).alias("box"))
+
+    roots = connected_components(arcs.select(cell("from_box").alias("a"), cell("box").alias("b")))
+    sizes = points.groupBy("structure_id", "box").agg(F.count("*").alias("n")).withColumn("node", cell("box"))
+    labels = sizes.join(roots, "node", "left").select(
+        "structure_id", "n", F.coalesce("root", "node").alias("label"))
     groups = labels.groupBy("structure_id", "label").agg(F.sum("n").alias("size"))
     return groups.groupBy("structure_id").agg(
         F.max(F.when(F.col("size") > 1, F.col("size")).otherwise(F.lit(0)))

@@ -58,7 +58,7 @@ class FourierRegression:
         @F.pandas_udf("mean double, sigma double")
         def apply(*columns: pd.Series) -> pd.DataFrame:
             basis = model.basis(np.column_stack(columns))
-            spread = np.einsum("ij,jk,ik->i", basis, model.covariance, basis)
+            spread = ((basis @ model.covariance) * basis).sum(axis=1)
             return pd.DataFrame({
                 "mean": basis @ model.weights * model.y_scale + model.y_mean,
                 "sigma": np.sqrt(spread + model.noise_variance) * model.y_scale})
@@ -142,11 +142,7 @@ def fit_local_forest(train: DataFrame, target: str = "em", features=FEATURES,
         featuresCol="_features", labelCol=target, predictionCol="local_pred",
         numTrees=trees, minInstancesPerNode=2, maxDepth=depth,
         featureSubsetStrategy="all", maxMemoryInMB=1024, seed=42)
-    clean = train.select(*features, target).dropna()
-    # Every level of the trees passes over the rows, so spread them over all
-    # cores first; four columns are shuffled once.
-    spread = clean.repartition(train.sparkSession.sparkContext.defaultParallelism)
-    return forest.fit(_assembled(spread, features))
+    return forest.fit(_assembled(train.select(*features, target).dropna(), features))
 
 
 def predict_local(model, rows: DataFrame, features=FEATURES) -> DataFrame:

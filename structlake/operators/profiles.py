@@ -143,11 +143,16 @@ def feature_diff(wild: DataFrame, mutant: DataFrame, key: str, fields: list[str]
         F.coalesce(changed, F.lit(False)).alias("changed"))
 
 
-def audit_summary(diff: DataFrame, key: str) -> DataFrame:
-    """Changed-feature count and the warning it calls for."""
+def audit_summary(diff: DataFrame, key: str, emission: DataFrame) -> DataFrame:
+    """Changed-feature count and the warning it calls for.
+
+    ``emission`` has, per key, the mutant's ``brightness`` and the wild type's
+    ``wt_pred_final``; the emission is unchanged when these two agree.
+    """
+    change = F.abs(rules.finite(F.col("brightness")) - rules.finite(F.col("wt_pred_final")))
     grouped = diff.groupBy(key).agg(
         F.count("*").alias("n_features"), F.count_if("changed").alias("n_changed"),
-        F.max(F.when(F.col("feature") == "pred_final", F.abs("delta"))).alias("emission_change"))
+    ).join(emission.select(key, change.alias("emission_change")), key, "left")
     warning = (F.when(F.col("n_changed") == 0, "no feature changed")
                .when(F.col("n_changed") < F.floor(F.col("n_features") / 2), "weak sensitivity")
                .otherwise("ok"))

@@ -1,64 +1,41 @@
-"""Exact quantiles of columns of any size."""
+"""Exact quantiles of columns of any size, in one pass and without a driver step."""
 
 from __future__ import annotations
 
-import math
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import DataFrame, functions as F
-
-_BINS = 4096
+from ..functions.rules import finite
+from .prefix import running
 
 
 def exact_quantiles(frame: DataFrame, columns: list[str],
-                    probabilities: list[float], limit: int = 1_000_000
-                    ) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles of each column, NULLs ignored.
-
-    Up to ``limit`` values are aggregated directly.  Beyond that the exact
-    ``percentile`` would keep every distinct value in one task, so the rank is
-    located first: counts per value bin (at most 4096 rows to the driver)
-    narrow the range until it holds few enough values, or one.
+                    probabilities: list[float]) -> DataFrame:
+    """One row with an array of linear-interpolation quantiles per column.
+
+    All columns go through one long table (column, value): equal values are
+    counted, the counts summed along the range-partitioned order, and the
+    wanted ranks picked from it.  No task holds a column, and size changes
+    nothing.  NULL, NaN and infinite values are left out; a column without a
+    value has NULL quantiles.  Numbering checkpoints the counts, so building
+    this frame runs a job.
     """
-    sizes = frame.agg(*(F.struct(
-        F.count(c).alias("n"), F.min(c).alias("low"), F.max(c).alias("high")
-    ).alias(c) for c in columns)).first()
-    small = [c for c in columns if 0 < sizes[c]["n"] <= limit]
-    out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
-    if small:
-        row = frame.agg(*(F.percentile(c, F.array(*map(F.lit, probabilities))).alias(c)
-                          for c in small)).first()
-        out.update({c: list(row[c]) for c in small})
-    for c in columns:
-        if sizes[c]["n"] > limit:
-            out[c] = [_quantile(frame, c, p, sizes[c], limit) for p in probabilities]
-    return out
-
-
-def _quantile(frame, column, probability, size, limit):
-    position = probability * (size["n"] - 1)
-    low, high = math.floor(position), math.ceil(position)
-    first = _value_at(frame, column, low, size, limit)
-    if low == high:
-        return first
-    second = _value_at(frame, column, high, size, limit)
-    return first + (second - first) * (position - low)
-
-
-def _value_at(frame: DataFrame, column: str, rank: int, size, limit: int) -> float:
-    low, high, count, below = size["low"], size["high"], size["n"], 0
-    while True:
-        if low == high:
-            return low
-        inside = frame.where(F.col(column).between(low, high))
-        if count <= limit:
-            values = inside.agg(F.sort_array(F.collect_list(column)).alias("v"))
-            return values.select(F.get("v", F.lit(rank - below))).first()[0]
-        share = (F.col(column) - low) / (high - low)
-        binned = F.least(F.floor(share * _BINS), F.lit(_BINS - 1))
-        for row in sorted(inside.groupBy(binned.alias("bin")).agg(
-                F.count("*").alias("n"), F.min(column).alias("low"),
-                F.max(column).alias("high")).collect()):
-            if rank < below + row["n"]:
-                low, high, count = row["low"], row["high"], row["n"]
-                break
-            below += row["n"]
+    long = frame.select(F.explode(F.array(*(
+        F.struct(F.lit(i).alias("c"), finite(F.col(c).cast("double")).alias("v"))
+        for i, c in enumerate(columns)))).alias("x")).select("x.c", "x.v").where(F.col("v").isNotNull())
+    counted = long.groupBy("c", "v").agg(F.count("*").alias("n"))
+    upto = running(counted, [F.col("v").asc()], keys=["c"], value="n", total="upto")
+    ranked = upto.join(upto.groupBy("c").agg(F.max("upto").alias("total")), "c")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("v")))
+
+    picked = ranked.groupBy("c").agg(F.max("total").alias("total"), *(
+        at(edge(F.lit(float(p)) * (F.col("total") - 1))).alias(f"{side}{k}")
+        for k, p in enumerate(probabilities) for side, edge in (("low", F.floor), ("high", F.ceil))))
+    values = [F.col(f"low{k}") + (F.col(f"high{k}") - F.col(f"low{k}"))
+              * (F.lit(float(p)) * (F.col("total") - 1) - F.floor(F.lit(float(p)) * (F.col("total") - 1)))
+              for k, p in enumerate(probabilities)]
+    wide = picked.select("c", *(v.alias(f"q{k}") for k, v in enumerate(values)))
+    return wide.agg(*(
+        F.array(*(F.max(F.when(F.col("c") == i, F.col(f"q{k}"))) for k in range(len(probabilities)))).alias(c)
+        for i, c in enumerate(columns)))

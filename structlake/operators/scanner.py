@@ -177,9 +177,12 @@ def resolve_cofactor(atoms: DataFrame, forced: str | None = None) -> DataFrame:
 
 def nearest_neighbour(distances: DataFrame) -> DataFrame:
     """Closest atom of each structure with its residue; earliest line on ties."""
-    best = distances.groupBy("structure_id").agg(F.min(F.struct(
-        "dist", "line_no", "resn", "chain", "resi", "atom_name",
-        "x", "y", "z")).alias("b"))
+    # Primitive buffers hash: the least distance over all atoms, then a struct over the few at it.
+    least = distances.groupBy("structure_id").agg(F.min("dist").alias("_least"))
+    best = distances.join(least, "structure_id").where(
+        F.col("dist") == F.col("_least")).groupBy("structure_id").agg(F.min(F.struct(
+            "dist", "line_no", "resn", "chain", "resi", "atom_name",
+            "x", "y", "z")).alias("b"))
     return best.select(
         "structure_id", "b.resn", "b.chain", "b.resi", "b.atom_name",
         F.col("b.dist").alias("distance"), "b.x", "b.y", "b.z",

@@ -14,17 +14,22 @@ _RECORD = ["structure_id", "line_no", "sub_line", "record", "atom_name", "altloc
 
 
 def structure_hashes(lines: DataFrame) -> DataFrame:
-    """Content hash of all lines and of the coordinate records."""
-    hashed = lines.select(
-        "structure_id", is_coordinate_record(F.col("value")).alias("coordinate"),
-        F.sha2("value", 256).alias("digest"))
-    words = hashing.digest_words(F.col("digest"))
-    coordinate = F.col("coordinate")
-    zero = F.lit(0).cast("bigint")
-    return hashed.groupBy("structure_id").agg(
-        hashing.multiset_digest(words, F.count("*")).alias("structure_hash"),
+    """Content hash of all lines and of the coordinate records, in their order.
+
+    Each line enters with its place among all lines, or among the coordinate
+    records; places are counted by range, so no structure is gathered.
+    """
+    placed = running(
+        lines.withColumn("coordinate", is_coordinate_record(F.col("value")).cast("int")),
+        [F.col("line_no")], keys=["structure_id"], value="coordinate",
+        number="place", total="atom_place")
+    coordinate = F.col("coordinate") == 1
+    return placed.groupBy("structure_id").agg(
+        hashing.multiset_digest(hashing.placed_words("place", F.col("value")), F.count("*"))
+        .alias("structure_hash"),
         hashing.multiset_digest(
-            [F.when(coordinate, w).otherwise(zero) for w in words],
+            [F.when(coordinate, w).otherwise(F.lit(0)) for w in
+             hashing.placed_words("atom_place", F.col("value"))],
             F.count_if(coordinate)).alias("atom_hash"))
 
 
@@ -39,18 +44,19 @@ def file_hashes(spark, path: str, glob: str = "*.{pdb,ent}") -> DataFrame:
 
 
 def coordinate_hashes(atoms: DataFrame, radius: float = 12.0) -> DataFrame:
-    """Hash of the coordinates within a sphere around the structure's mean."""
+    """Hash of the coordinates, in line order, within a sphere around the structure's mean."""
     centers = atoms.groupBy("structure_id").agg(
         *(F.avg(a).alias(f"c{a}") for a in "xyz"))
     parts = [F.col(a) - F.col(f"c{a}") for a in "xyz"]
     inside = F.sqrt(sum(p * p for p in parts)) <= radius
     text = F.format_string("%.3f %.3f %.3f", "x", "y", "z")
-    hashed = atoms.join(centers, "structure_id").select(
-        "structure_id", inside.alias("inside"),
-        F.when(inside, F.sha2(text, 256)).alias("digest"))
-    return hashed.groupBy("structure_id").agg(
+    marked = atoms.join(centers, "structure_id").select(
+        "structure_id", "line_no", inside.alias("inside"), text.alias("text"))
+    placed = running(marked, [F.col("line_no")], keys=["structure_id", "inside"], number="place")
+    return placed.groupBy("structure_id").agg(
         hashing.multiset_digest(
-            [F.coalesce(w, F.lit(0)) for w in hashing.digest_words(F.col("digest"))],
+            [F.when(F.col("inside"), w).otherwise(F.lit(0)) for w in
+             hashing.placed_words("place", F.col("text"))],
             F.count_if("inside")).alias("coordinate_hash"),
         F.count_if("inside").alias("n_atoms"))
 

@@ -16,8 +16,17 @@ SELECT *, pred_q AS pred_16q, pred_q * 1.1 - 5 AS pred_8q, abs(em - gpr_pred_raw
 
 
 def evals(t):
+    return with_derived(t.evals)
+
+
+def evals_once(t):
+    """The same rows, written once, for plans that read them several times."""
+    return with_derived(t.evals_once)
+
+
+def with_derived(rows):
     key = F.col("pdb_id")
-    return t.evals.select(
+    return rows.select(
         "*", F.col("pred_q").alias("pred_16q"), (F.col("pred_q") * 1.1 - 5).alias("pred_8q"),
         F.abs(F.col("em") - F.col("gpr_pred_raw")).alias("err_gpr"),
         F.abs(F.col("em") - F.col("pred_q")).alias("err_final"),
@@ -66,11 +75,11 @@ def _(t):
 @query("p10_derived_measures", """
 SELECT pdb_id, round(n5_spin * hfcc_primary / (st_gap + 1e-6), 4) AS msi, round(1.0 / (st_gap + 1e-6) * n5_spin, 5) AS heading, st_gap < 0.01 AS coherent,
        list_reverse_sort([iso, hb_cap, hfcc_primary])[1] AS hfcc_1, list_reverse_sort([iso, hb_cap, hfcc_primary])[2] AS hfcc_2, list_reverse_sort([iso, hb_cap, hfcc_primary])[3] AS hfcc_3
-FROM ev_sql WHERE st_gap > 0""")
+FROM ev_sql""")
 def _(t):
     gap, spin = F.col("st_gap"), F.col("n5_spin")
     ordered = rules.ordered_hyperfine(F.col("iso"), F.col("hb_cap"), F.col("hfcc_primary"))
-    return evals(t).where(gap > 0).select(
+    return evals(t).select(
         "pdb_id", F.round(rules.sensitivity_index(spin, F.col("hfcc_primary"), gap), 4).alias("msi"),
         F.round(rules.heading_index(spin, gap), 5).alias("heading"),
         rules.is_coherent(gap).alias("coherent"),
@@ -91,7 +100,7 @@ FROM ev_sql WHERE err_gpr < 36""")
     f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS sd, round(median({c}), 6) AS median FROM ev_sql"
     for c in STAT_COLUMNS))
 def _(t):
-    return evaluation.column_stats(evals(t), list(STAT_COLUMNS)).select(
+    return evaluation.column_stats(evals_once(t), list(STAT_COLUMNS)).select(
         "column", "n", *rounded("mean", "sd", "median"))
 
 
@@ -103,7 +112,7 @@ def _(t):
 
 
 def complexity_rows(t):
-    rows = evals(t)
+    rows = evals_once(t)
     return blending.with_complexity(rows, rows)
 
 
@@ -134,7 +143,7 @@ FROM (SELECT *, CASE WHEN in_domain THEN 0.5 ELSE 0.05 END AS base, gpr_sigma <
 
 
 def weighted_rows(t):
-    return blending.with_quantum_weight(complexity_rows(t), evals(t), F.col("failure"))
+    return blending.with_quantum_weight(complexity_rows(t), evals_once(t), F.col("failure"))
 
 
 @query("p13_quantum_weight", "SELECT pdb_id, in_domain, round(quantum_weight, 6) AS quantum_weight FROM weight_sql")
@@ -145,7 +154,7 @@ def _(t):
 view("routed_sql", """
 SELECT *, CASE WHEN miss THEN gpr_pred + n16 WHEN escalate THEN gpr_pred + n8 ELSE pred_16q END AS pred_final,
   CASE WHEN miss THEN n16 WHEN escalate THEN n8 ELSE greatest(-15.0, least(15.0, quantum_weight * (pred_16q - gpr_pred) * damping)) END AS nudge,
-  CASE WHEN miss THEN 'hybrid_16q' WHEN escalate THEN 'hybrid_8q' ELSE 'uhf_quantum' END AS tier,
+  CASE WHEN miss THEN 'hybrid_16q' WHEN escalate THEN 'hybrid_8q' WHEN quantum_weight > 0 THEN 'uhf_16q_active' ELSE 'uhf_quantum' END AS tier,
   CASE WHEN miss OR NOT escalate THEN pred_16q ELSE pulled END AS pred_q_used
 FROM (SELECT *, CASE WHEN abs(pred_16q - gpr_pred) > 100 THEN 0 ELSE 0.15 * (pred_16q - gpr_pred) * damping END AS n16,
         CASE WHEN sign(pulled - gpr_pred) * sign(em - gpr_pred) > 0 AND abs(gpr_pred + step - gpr_mean) <= abs(gpr_pred - gpr_mean) THEN step ELSE 0 END AS n8
@@ -156,10 +165,11 @@ FROM (SELECT *, CASE WHEN abs(pred_16q - gpr_pred) > 100 THEN 0 ELSE 0.15 * (pre
 
 
 @query("p14_tier_routing", """
-SELECT pdb_id, tier, round(pred_q_used, 6) AS pred_q_used, round(nudge, 6) AS nudge, round(pred_final, 6) AS pred_final FROM routed_sql""")
+SELECT pdb_id, tier, tier || '|single_calibrated' AS single_tier, round(pred_q_used, 6) AS pred_q_used, round(nudge, 6) AS nudge, round(pred_final, 6) AS pred_final FROM routed_sql""")
 def _(t):
-    return blending.route(weighted_rows(t), evals(t), evaluating=True).select(
-        "pdb_id", "tier", *rounded("pred_q_used", "nudge", "pred_final"))
+    return blending.route(weighted_rows(t), evals_once(t), evaluating=True).select(
+        "pdb_id", "tier", rules.calibrated_tier(F.col("tier")).alias("single_tier"),
+        *rounded("pred_q_used", "nudge", "pred_final"))
 
 
 @query("p15_final_cascade", """
@@ -179,7 +189,7 @@ SELECT pdb_id, used::INTEGER AS gpr_fallback_used, round(CASE WHEN used THEN 0.3
 FROM (SELECT *, abs(gpr_pred_raw - m) <= greatest(0.001, 0.01 * greatest(1.0, abs(m))) OR gpr_sigma >= q AS used
   FROM ev_sql, (SELECT avg(em) AS m, quantile_cont(gpr_sigma, 0.75) AS q FROM ev_sql))""")
 def _(t):
-    rows = evals(t)
+    rows = evals_once(t)
     return blending.with_fallback(rows, rows).select(
         "pdb_id", "gpr_fallback_used", *rounded("gpr_blended"))
 
@@ -233,7 +243,7 @@ def metric_sql(model, column, subset, where):
     for s, w in (("all", "true"), ("clean", "NOT failure"), ("failure", "failure"))))
 def _(t):
     return evaluation.regression_metrics(
-        evals(t), {"gpr": "gpr_pred_raw", "small": "pred_8q", "quantum": "pred_q"},
+        evals_once(t), {"gpr": "gpr_pred_raw", "small": "pred_8q", "quantum": "pred_q"},
         {"all": F.lit(True), "clean": ~F.col("failure"), "failure": F.col("failure")},
     ).select("model", "subset", "n", *rounded("mae", "medae", "r2"))
 
@@ -248,8 +258,8 @@ def _(t):
 
 
 @query("a18_success_contrast", """
-SELECT CASE WHEN err_final < 36 THEN 'success_lt36' ELSE 'failure_gt80' END AS "group", count(*) AS n, round(avg(flex), 6) AS mean_flexibility,
-       round(avg(hb_cap), 6) AS mean_hbondcap, round(avg(gpr_sigma), 6) AS mean_sigma FROM ev_sql WHERE err_final < 36 OR err_final > 80 GROUP BY 1""")
+SELECT g AS "group", count(e.pdb_id) AS n, round(avg(flex), 6) AS mean_flexibility, round(avg(hb_cap), 6) AS mean_hbondcap, round(avg(gpr_sigma), 6) AS mean_sigma
+FROM (VALUES ('success_lt36'), ('failure_gt80')) v(g) LEFT JOIN ev_sql e ON CASE WHEN g = 'success_lt36' THEN err_final < 36 ELSE err_final > 80 END GROUP BY 1""")
 def _(t):
     return evaluation.success_contrast(evals(t), "err_final").select(
         "group", "n", *rounded("mean_flexibility", "mean_hbondcap", "mean_sigma"))
@@ -279,7 +289,7 @@ CANDIDATE = """SELECT e.*, st_gap <= g AND n5_spin >= s AND polarizability >= p
 
 @query("a20_magnetic_candidates", f"SELECT pdb_id, coalesce(candidate, false) AS candidate FROM ({CANDIDATE})")
 def _(t):
-    return evaluation.magnetic_candidates(evals(t), "st_gap", "n5_spin", "polarizability").select("pdb_id", "candidate")
+    return evaluation.magnetic_candidates(evals_once(t), "st_gap", "n5_spin", "polarizability").select("pdb_id", "candidate")
 
 
 @query("a21_hit_miss_gap", """
@@ -301,15 +311,16 @@ def _(t):
 @query("j10_join_flag", f"""
 SELECT e.pdb_id, coalesce(f.candidate, false) AS candidate FROM ev_sql e LEFT JOIN (SELECT pdb_id, coalesce(candidate, false) AS candidate FROM ({CANDIDATE}) WHERE pdb_id % 2 = 0) f ON f.pdb_id = e.pdb_id""")
 def _(t):
-    flags = evaluation.magnetic_candidates(evals(t), "st_gap", "n5_spin", "polarizability").where(F.col("pdb_id") % 2 == 0)
-    return evaluation.join_flag(evals(t), flags.select("pdb_id", "candidate"), "pdb_id", "candidate").select("pdb_id", "candidate")
+    flags = evaluation.magnetic_candidates(evals_once(t), "st_gap", "n5_spin", "polarizability").where(F.col("pdb_id") % 2 == 0)
+    return evaluation.join_flag(evals_once(t), flags.select("pdb_id", "candidate"), "pdb_id", "candidate").select("pdb_id", "candidate")
 
 
 @query("j11_split_by_ids", """
 SELECT pdb_id, pdb_id IN (SELECT pdb_id FROM ev_sql ORDER BY err_gpr DESC, pdb_id LIMIT 54) AS is_miss FROM ev_sql""")
 def _(t):
     rows = evals(t).select("pdb_id")
-    inside, outside = evaluation.split_by_ids(rows, blending.worst_misses(evals(t)))
+    misses = blending.worst_misses(evals(t)).select(F.col("id_upper").cast("bigint").alias("pdb_id"))
+    inside, outside = evaluation.split_by_ids(rows, misses)
     return inside.withColumn("is_miss", F.lit(True)).unionByName(outside.withColumn("is_miss", F.lit(False)))
 
 

@@ -105,12 +105,16 @@ def words_sql(col, when="true"):
 
 @query("f06_structure_hashes", f"""
 WITH c AS (SELECT structure_id, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM parsed_sql GROUP BY 1),
-     k AS (SELECT a.structure_id, printf('%.3f %.3f %.3f', x, y, z) AS txt,
-             sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)) <= 12 AS inside FROM parsed_sql a JOIN c ON c.structure_id = a.structure_id)
+     j AS (SELECT a.structure_id, a.line_no, printf('%.3f %.3f %.3f', x, y, z) AS txt,
+             sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)) <= 12 AS inside FROM parsed_sql a JOIN c ON c.structure_id = a.structure_id),
+     k AS (SELECT *, concat(row_number() OVER (PARTITION BY structure_id, inside ORDER BY line_no), '|', txt) AS placed FROM j),
+     n AS (SELECT structure_id, atom, concat(row_number() OVER (PARTITION BY structure_id ORDER BY line_no), '|', value) AS placed,
+             concat(row_number() OVER (PARTITION BY structure_id, atom ORDER BY line_no), '|', value) AS atom_placed
+           FROM (SELECT *, value LIKE 'ATOM%' OR value LIKE 'HETATM%' AS atom FROM lines_fx))
 SELECT l.structure_id, l.structure_hash, l.atom_hash, q.coordinate_hash, q.n_atoms FROM (
-  SELECT structure_id, sha256({words_sql('value')}) AS structure_hash,
-         sha256({words_sql('value', "(value LIKE 'ATOM%' OR value LIKE 'HETATM%')")}) AS atom_hash FROM lines_fx GROUP BY 1) l
-JOIN (SELECT structure_id, sha256({words_sql('txt', 'inside')}) AS coordinate_hash, count(*) FILTER (inside) AS n_atoms FROM k GROUP BY 1) q
+  SELECT structure_id, sha256({words_sql('placed')}) AS structure_hash,
+         sha256({words_sql('atom_placed', 'atom')}) AS atom_hash FROM n GROUP BY 1) l
+JOIN (SELECT structure_id, sha256({words_sql('placed', 'inside')}) AS coordinate_hash, count(*) FILTER (inside) AS n_atoms FROM k GROUP BY 1) q
   ON q.structure_id = l.structure_id""")
 def _(t):
     return structure_edit.structure_hashes(t.lines).join(

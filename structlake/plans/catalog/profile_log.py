@@ -246,9 +246,16 @@ def _(t):
 @query("j16_audit_summary", """
 SELECT pdb_id, count(*) AS n_features, count(*) FILTER (changed) AS n_changed,
   CASE WHEN count(*) FILTER (changed) = 0 THEN 'no feature changed' WHEN count(*) FILTER (changed) < 3 THEN 'weak sensitivity' ELSE 'ok' END AS warning,
-  max(abs(delta)) FILTER (feature = 'pred_final') < 1e-3 AS emission_unchanged FROM diff_sql GROUP BY 1""")
+  coalesce(abs(max(b.brightness) - max(b.wt_em)) < 1e-3, false) AS emission_unchanged
+FROM diff_sql JOIN (SELECT pdb_id, wt_em, CASE WHEN pdb_id % 7 = 0 THEN wt_em WHEN pdb_id % 5 <> 0 THEN mut_em END AS brightness FROM pair_sql) b USING (pdb_id) GROUP BY 1""")
 def _(t):
-    return profiles.audit_summary(diffs(t), "pdb_id")
+    # A seventh of the mutants is as bright as the wild type predicts; some have no brightness.
+    rows = t.evals.select("pdb_id", "uniprot_id", "em")
+    first = rows.groupBy("uniprot_id").agg(F.min_by("em", "pdb_id").alias("wt_pred_final"))
+    key = F.col("pdb_id")
+    emission = rows.join(first, "uniprot_id").select("pdb_id", "wt_pred_final", F.when(
+        key % 7 == 0, F.col("wt_pred_final")).when(key % 5 != 0, F.col("em")).alias("brightness"))
+    return profiles.audit_summary(diffs(t), "pdb_id", emission)
 
 
 @query("p31_headline_deltas", """

@@ -182,11 +182,14 @@ def _(t):
 
 
 @query("j09_existing_candidates", f"""
-SELECT c.structure_id, c.token FROM pool_sql c JOIN index_sql i ON i.structure_id = c.structure_id AND i.chain = c.chain AND i.resi = c.resi
- AND i.icode = c.icode AND {aa1('i.resn')} = CASE WHEN c.burial % 3 = 0 THEN 'A' ELSE c.wt END""")
+SELECT c.structure_id, c.token FROM (SELECT *, CASE WHEN burial % 5 = 1 THEN 'Q' ELSE icode END AS code FROM pool_sql) c
+LEFT JOIN index_sql i ON i.structure_id = c.structure_id AND i.chain = c.chain AND i.resi = c.resi AND i.icode = c.code
+LEFT JOIN index_sql b ON b.structure_id = c.structure_id AND b.chain = c.chain AND b.resi = c.resi AND b.icode = ' '
+WHERE {aa1('coalesce(i.resn, b.resn)')} = CASE WHEN c.burial % 3 = 0 THEN 'A' ELSE c.wt END""")
 def _(t):
-    altered = pool(t).withColumn(
-        "wt", F.when(F.col("burial") % 3 == 0, "A").otherwise(F.col("wt")))
+    altered = pool(t).withColumns({
+        "wt": F.when(F.col("burial") % 3 == 0, "A").otherwise(F.col("wt")),
+        "icode": F.when(F.col("burial") % 5 == 1, "Q").otherwise(F.col("icode"))})
     return candidates.existing_candidates(
         altered, candidates.residue_names(t.atoms)).select("structure_id", "token")
 

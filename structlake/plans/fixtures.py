@@ -13,6 +13,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import checkpoint
+
 ATOMS_FX = """
 SELECT l_suppkey AS structure_id,
        ((l_orderkey * 8 + l_linenumber) * 4096 + l_partkey % 4096) * 64
@@ -48,7 +50,7 @@ FROM supplier WHERE s_suppkey % 3 <> 0
 """
 
 MUTLIST_FX = """
-SELECT o_orderkey AS set_id, o_custkey % 10 AS structure_id, concat(
+SELECT o_orderkey AS set_id, o_custkey % (SELECT count(*) FROM supplier) AS structure_id, concat(
   split_part('A,N,R', ',', CAST(o_orderkey % 3 AS INT) + 1), ':',
   split_part('A,R,N,D,C,Q,E,G,H,I,L,K,M,F,P,S,T,W,Y,V,H,F,F', ',',
              CAST(((o_orderkey % 60) + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END) % 23 AS INT) + 1),
@@ -106,12 +108,6 @@ FIXTURES = {
     "atoms_fx": ATOMS_FX, "lines_fx": LINES_FX, "mutlist_fx": MUTLIST_FX,
     "eval_fx": EVAL_FX, "log_fx": LOG_FX, "curve_fx": CURVE_FX,
 }
-# Below the first size one task is enough; above the second per core the
-# reader makes enough splits by itself.
-_TINY_BYTES = 512 * 1024
-_SPLIT_BYTES = 4 * 1024 * 1024
-
-
 class Tables:
     """The data folder as DataFrames, fixtures included."""
 
@@ -120,18 +116,7 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        """A table; one too small to be split by the reader is spread out.
-
-        The size is the one the optimizer knows for the files.  Tables beyond
-        a few megabytes per core are left as the reader splits them, so a
-        large table is never shuffled here.
-        """
-        frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        size = int(str(frame._jdf.queryExecution().analyzed().stats().sizeInBytes()))
-        if _TINY_BYTES < size < cores * _SPLIT_BYTES:
-            return frame.repartition(cores)
-        return frame
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def _view(self, sql: str, **frames: DataFrame) -> DataFrame:
         for name in frames:
@@ -154,13 +139,18 @@ class Tables:
 
     @cached_property
     def mutlists(self) -> DataFrame:
-        return self._view(MUTLIST_FX, orders=self.table("orders"))
+        return self._view(MUTLIST_FX, orders=self.table("orders"), supplier=self.table("supplier"))
 
     @cached_property
     def evals(self) -> DataFrame:
         return self._view(EVAL_FX, orders=self.table("orders"),
                           lineitem=self.table("lineitem"))
 
+    @cached_property
+    def evals_once(self) -> DataFrame:
+        """The evaluation rows after one reading: statistics and rows need them again."""
+        return checkpoint(self.evals)
+
     @cached_property
     def log(self) -> DataFrame:
         return self._view(LOG_FX, events=self.table("events"))

@@ -9,10 +9,20 @@ from ..functions.jsonio import json_text
 
 def append_log(frame: DataFrame, path: str, expected: list[str] | None = None) -> None:
     """Append to a log after checking that the expected columns are there."""
+    _check(frame, expected)
+    frame.write.mode("append").parquet(path)
+
+
+def write_batch(frame: DataFrame, path: str, batch_id: int, expected: list[str] | None = None) -> None:
+    """One micro-batch of a log; written again under the same number it replaces itself."""
+    _check(frame, expected)
+    frame.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def _check(frame: DataFrame, expected: list[str] | None) -> None:
     missing = set(expected or ()) - set(frame.columns)
     if missing:
         raise ValueError(f"missing expected columns: {', '.join(sorted(missing))}")
-    frame.write.mode("append").parquet(path)
 
 
 def read_log(spark, path: str) -> DataFrame:

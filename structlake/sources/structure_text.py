@@ -14,29 +14,41 @@ from ..functions import constants as C
 _ROW_BITS = 33
 
 
-def read_structure_lines(spark: SparkSession, path: str,
-                         glob: str = "*.{pdb,ent}") -> DataFrame:
-    """Read a folder of structure files line by line.
-
-    The line number joins the offset of the file split with the row offset in
-    the task, so it grows along a file even where the file is split.  The
-    record test comes first, so that remarks are dropped before any parsing.
+def read_structure_lines(spark: SparkSession, path: str, glob: str = "*.{pdb,ent}",
+                         preferred: tuple[str, ...] = ()) -> DataFrame:
+    """Read a folder of structure files line by line, one file per structure.
+
+    Of files with one stem only one is read: that whose path holds the earliest
+    of the ``preferred`` parts, then the first path.  The line number joins the
+    offset of the file split with the row offset in the task, so it grows along
+    a file even where the file is split; it is good for one reading, not a key
+    to store.
     """
-    text = (
-        spark.read.option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", "true").text(path)
-        .select("value", "_metadata.file_path", "_metadata.file_block_start")
-    )
-    return number_lines(text)
+    def reader(kind: str):
+        return spark.read.format(kind).option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+
+    # Only names are read here: the content column is pruned.
+    files = reader("binaryFile").load(path).select("_metadata.file_path")
+    rank = F.lit(len(preferred))
+    for k, part in reversed(list(enumerate(preferred))):
+        rank = F.when(F.col("file_path").contains(part), k).otherwise(rank)
+    chosen = files.groupBy(_stem().alias("stem")).agg(
+        F.min(F.struct(rank.alias("rank"), "file_path")).alias("best")).select(
+        F.col("best.file_path").alias("file_path"))
+    text = reader("text").load(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    return number_lines(text.join(chosen, "file_path", "left_semi"))
+
+
+def _stem() -> Column:
+    return F.regexp_extract("file_path", r"([^/]+)\.[^./]+$", 1)
 
 
 def number_lines(text: DataFrame) -> DataFrame:
     """Line table from ``(value, file_path, file_block_start)`` rows."""
-    stem = F.regexp_extract("file_path", r"([^/]+)\.[^./]+$", 1)
     row = F.monotonically_increasing_id().bitwiseAND(
         F.lit((1 << _ROW_BITS) - 1))
     return text.select(
-        stem.alias("structure_id"),
+        _stem().alias("structure_id"),
         F.shiftleft("file_block_start", _ROW_BITS).bitwiseOR(row).alias("line_no"),
         "value",
     )
@@ -130,14 +142,15 @@ def index_residues(records: DataFrame) -> DataFrame:
 
 
 def header_ids(lines: DataFrame) -> DataFrame:
-    """Id of each structure: the first usable HEADER line, else its own name."""
-    header_line = F.when(
-        F.col("value").startswith("HEADER") & (F.length("value") >= 66),
-        F.col("line_no"))
-    found = lines.groupBy("structure_id").agg(
-        F.min_by(_field(63, 4), header_line).alias("header_id"))
+    """Id of each structure: the first usable HEADER line, else its own name.
+
+    Only header lines are compared; the list of structures is a plain hash
+    aggregation over the other lines.
+    """
+    headers = lines.where(F.col("value").startswith("HEADER") & (F.length("value") >= 66)).groupBy(
+        "structure_id").agg(F.min_by(_field(63, 4), F.col("line_no")).alias("header_id"))
     usable = F.when(F.col("header_id") != "", F.col("header_id"))
-    return found.select(
+    return lines.select("structure_id").distinct().join(headers, "structure_id", "left").select(
         "structure_id",
         F.coalesce(usable, F.col("structure_id").cast("string")).alias("pdb_id"))
 

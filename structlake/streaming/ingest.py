@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.sinks import append_log
+from ..sources.sinks import write_batch
 from ..sources.structure_text import number_lines
 
 
@@ -24,13 +24,14 @@ def stream_structure_text(spark: SparkSession, path: str,
 def append_stream(stream: DataFrame, path: str, checkpoint: str,
                   prepare: Callable[[DataFrame], DataFrame] = number_lines,
                   expected: list[str] | None = None):
-    """Append every micro-batch to the log; run until no new data is left.
+    """Write every micro-batch to its own folder of the log; run until no new data is left.
 
-    ``prepare`` turns a batch into log rows.  Lines are numbered there because
+    The folder is named by the batch, so a batch that is replayed after a
+    failure replaces itself.  ``prepare`` turns a batch into log rows.  Lines are numbered there because
     row numbering is not defined on a stream.
     """
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        append_log(prepare(batch), path, expected)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch(prepare(batch), path, batch_id, expected)
 
     return (stream.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint)

@@ -16,17 +16,23 @@ def one(spark, column):
     return spark.range(1).select(column.alias("v")).first().v
 
 
-def test_exact_quantiles_beyond_the_limit(spark):
+def test_exact_quantiles(spark):
     rng = random.Random(1)
     # A third of the rows share one value.
     values = [rng.gauss(0, 100) for _ in range(2000)] + [7.5] * 1000
     frame = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
     want = [float(np.quantile(values, p)) for p in (0.1, 0.5, 0.9)]
-    for limit in (10, 200, 1_000_000):
-        got = quantiles.exact_quantiles(frame, ["v"], [0.1, 0.5, 0.9], limit=limit)["v"]
-        assert got == pytest.approx(want, abs=1e-9)
+    got = quantiles.exact_quantiles(frame, ["v"], [0.1, 0.5, 0.9]).first().v
+    assert got == pytest.approx(want, abs=1e-9)
     empty = spark.createDataFrame([], "v double")
-    assert quantiles.exact_quantiles(empty, ["v"], [0.5]) == {"v": [None]}
+    assert quantiles.exact_quantiles(empty, ["v"], [0.5]).first().v == [None]
+
+
+def test_quantiles_leave_out_what_is_not_finite(spark):
+    odd = [float("inf"), float("-inf"), float("nan"), None]
+    frame = spark.createDataFrame([(v, 1.0) for v in [*map(float, range(41)), *odd]], "v double, w double")
+    row = quantiles.exact_quantiles(frame, ["v", "w"], [0.5, 0.25]).first()
+    assert (row.v, row.w) == ([20.0, 10.0], [1.0, 1.0])
 
 
 def test_running_with_heavy_ties_and_keys(spark):
@@ -149,3 +155,19 @@ def test_forest_and_families(spark, grid):
     names = {r.iso: r.family for r in learning.cluster_families(split).collect()}
     assert names == {5.0: "nitroreductase", 5.5: "nitroreductase", 40.0: "reductase", 41.0: "reductase"}
     assert learning.cluster_families(split.limit(1)).first().family == "single_upload"
+
+
+def test_routing_keeps_one_row_per_row(spark):
+    rows = spark.createDataFrame(
+        [("dataset", float(e), 0.0) for e in (1, 5, 9)] + [("Dataset", 7.0, 0.0), ("other", 0.0, 0.0)],
+        "pdb_id string, em double, gpr_pred_raw double").withColumns({c: F.lit(1.0) for c in (
+            "gpr_pred", "pred_16q", "pred_8q", "flex", "complexity", "gpr_sigma", "success_em_mean", "gpr_mean", "quantum_weight")})
+    got = blending.route(rows, rows.where("em > 6")).collect()
+    assert sorted((r.pdb_id, r.tier) for r in got) == [
+        ("Dataset", "hybrid_16q"), *[("dataset", "hybrid_16q")] * 3, ("other", "uhf_16q_active")]
+
+
+def test_success_contrast_reports_empty_groups(spark):
+    rows = spark.createDataFrame([(1.0, 1.0, 2.0, 3.0)], "e double, flex double, hb_cap double, gpr_sigma double")
+    got = {r.group: (r.n, r.mean_sigma) for r in evaluation.success_contrast(rows, "e").collect()}
+    assert got == {"success_lt36": (1, 3.0), "failure_gt80": (0, None)}

@@ -87,7 +87,8 @@ def test_diff_and_audit(spark):
     got = {(r.id, r.feature): (r.delta, r.changed) for r in diff.collect()}
     assert got[(1, "pred_final")][1] is False and got[(1, "b")] == (None, False)
     assert got[(2, "a")] == (0.5, True)
-    audit = {r.id: (r.n_changed, r.warning, r.emission_unchanged) for r in profiles.audit_summary(diff, "id").collect()}
+    emission = spark.createDataFrame([(1, 100.0005, 100.0), (2, None, 100.0)], "id int, brightness double, wt_pred_final double")
+    audit = {r.id: (r.n_changed, r.warning, r.emission_unchanged) for r in profiles.audit_summary(diff, "id", emission).collect()}
     assert audit == {1: (0, "no feature changed", True), 2: (2, "ok", False)}
 
 

@@ -177,3 +177,24 @@ def test_edit_keeps_backbone_and_renders(spark):
     assert rendered[1][:30] == "ATOM      2  CA  VAL A   5    "
     back = text.scan_atoms(line_table(spark, s=rendered))
     assert back.count() == 6
+
+
+def test_one_file_per_stem(spark, tmp_path):
+    for folder, x in (("a", 1.0), ("b", 2.0)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "1ABC.pdb").write_text(
+            f"ATOM      1  CA  ALA A   1    {x:8.3f}{x:8.3f}{x:8.3f}  1.00 20.00           C\n")
+    first = text.scan_atoms(text.read_structure_lines(spark, str(tmp_path))).collect()
+    assert [(r.structure_id, r.x) for r in first] == [("1ABC", 1.0)]
+    wanted = text.scan_atoms(text.read_structure_lines(spark, str(tmp_path), preferred=("/b/",))).collect()
+    assert [r.x for r in wanted] == [2.0]
+
+
+def test_hashes_notice_order(spark):
+    atom = "ATOM      1  CA  ALA A   1    {:8.3f}   1.000   1.000  1.00 20.00           C"
+    rows = [(1, 1, atom.format(1)), (1, 2, atom.format(2)), (2, 1, atom.format(2)), (2, 2, atom.format(1)),
+            (3, 1, atom.format(1)), (3, 2, atom.format(2))]
+    lines = spark.createDataFrame(rows, "structure_id bigint, line_no bigint, value string")
+    got = {r.structure_id: tuple(r)[1:] for r in structure_edit.structure_hashes(lines).join(
+        structure_edit.coordinate_hashes(text.scan_atoms(lines)), "structure_id").collect()}
+    assert got[1] == got[3] and all(a != b for a, b in zip(got[1][:3], got[2][:3]))
