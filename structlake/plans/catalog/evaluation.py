@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions import constants as C, jsonio, rules
-from ...operators import blending, curves, evaluation
+from ...operators import blending, curves, evaluation, prediction
 from ..registry import query, view
 from .structures import rounded
 
@@ -116,11 +116,12 @@ def complexity_rows(t):
     return blending.with_complexity(rows, rows)
 
 
-view("complex_sql", """
+COMPLEX_SQL = """
 SELECT *, 1.0 / (1.0 + complexity) AS damping, complexity > 1.8 OR gpr_sigma > 90 AS escalate FROM (
   SELECT e.*, s.gpr_pred_raw_mean AS gpr_mean, abs((iso - iso_mean) / iso_sd) + abs((hb_cap - hb_cap_mean) / hb_cap_sd) + 0.5 * abs(flex) AS complexity,
     CASE WHEN gpr_pred_raw_sd > 0 AND abs(gpr_pred_raw - gpr_pred_raw_mean) > 1.5 * gpr_pred_raw_sd THEN gpr_pred_raw_mean + 0.7 * (gpr_pred_raw - gpr_pred_raw_mean) ELSE gpr_pred_raw END AS gpr_pred
-  FROM ev_sql e, stats_sql s)""")
+  FROM ev_sql e, stats_sql s)"""
+view("complex_sql", COMPLEX_SQL)
 
 
 @query("p11_complexity", "SELECT pdb_id, round(complexity, 6) AS complexity, round(damping, 6) AS damping, escalate FROM complex_sql")
@@ -133,13 +134,14 @@ def _(t):
     return complexity_rows(t).select("pdb_id", *rounded("gpr_pred"))
 
 
-view("weight_sql", """
+WEIGHT_SQL = """
 SELECT *, CASE WHEN gpr_sigma > 110 OR complexity > 1.4 OR failure OR (gpr_sigma <= sigma_median AND NOT gold) THEN 0.0
   WHEN gold THEN greatest(base, 3.125) WHEN NOT escalate AND complexity < 1.2 AND gpr_sigma < 50 THEN greatest(base, 1.5) ELSE base END::DOUBLE AS quantum_weight
 FROM (SELECT *, CASE WHEN in_domain THEN 0.5 ELSE 0.05 END AS base, gpr_sigma < 50 AND complexity < 1 AND NOT escalate AS gold FROM (
   SELECT c.*, s.em_mean AS success_em_mean, (SELECT median(gpr_sigma) FROM ev_sql) AS sigma_median,
     flex_sd > 0 AND abs(flex - flex_mean) <= 0.5 * flex_sd AND hb_cap_sd > 0 AND abs(hb_cap - hb_cap_mean) <= 0.5 * hb_cap_sd
-    AND sigma_sd > 0 AND abs(gpr_sigma - sigma_mean) <= 0.5 * sigma_sd AS in_domain FROM complex_sql c, success_sql s))""")
+    AND sigma_sd > 0 AND abs(gpr_sigma - sigma_mean) <= 0.5 * sigma_sd AS in_domain FROM complex_sql c, success_sql s))"""
+view("weight_sql", WEIGHT_SQL)
 
 
 def weighted_rows(t):
@@ -151,7 +153,7 @@ def _(t):
     return weighted_rows(t).select("pdb_id", "in_domain", *rounded("quantum_weight"))
 
 
-view("routed_sql", """
+ROUTED_SQL = """
 SELECT *, CASE WHEN miss THEN gpr_pred + n16 WHEN escalate THEN gpr_pred + n8 ELSE pred_16q END AS pred_final,
   CASE WHEN miss THEN n16 WHEN escalate THEN n8 ELSE greatest(-15.0, least(15.0, quantum_weight * (pred_16q - gpr_pred) * damping)) END AS nudge,
   CASE WHEN miss THEN 'hybrid_16q' WHEN escalate THEN 'hybrid_8q' WHEN quantum_weight > 0 THEN 'uhf_16q_active' ELSE 'uhf_quantum' END AS tier,
@@ -161,7 +163,8 @@ FROM (SELECT *, CASE WHEN abs(pred_16q - gpr_pred) > 100 THEN 0 ELSE 0.15 * (pre
   FROM (SELECT *, greatest(-30.0, least(30.0, 0.04 * (pulled - gpr_pred) * damping)) AS step FROM (
     SELECT *, CASE WHEN abs(biased - success_em_mean) > 100 THEN gpr_pred + 0.5 * (biased - gpr_pred) ELSE biased END AS pulled FROM (
       SELECT *, pred_8q - 40 + 50 * (0.5 * flex + 0.2 * complexity) AS biased, pdb_id IN (
-        SELECT pdb_id FROM ev_sql ORDER BY err_gpr DESC, pdb_id LIMIT 54) AS miss FROM weight_sql))))""")
+        SELECT pdb_id FROM ev_sql ORDER BY err_gpr DESC, pdb_id LIMIT 54) AS miss FROM weight_sql))))"""
+view("routed_sql", ROUTED_SQL)
 
 
 @query("p14_tier_routing", """
@@ -206,6 +209,48 @@ def _(t):
         "pdb_id", *rounded("prior_em"), "prior_used", *rounded("gpr_prior"))
 
 
+# --- the whole cascade: the value is handed on from step to step -----------------
+view("handed_sql", """
+SELECT f.* REPLACE (CASE WHEN p IS NULL THEN gpr_pred_raw ELSE w * p + (1 - w) * gpr_pred_raw END AS gpr_pred_raw), p IS NOT NULL AS prior_used FROM (
+  SELECT f.*, coalesce(b.m, a.m) AS p, greatest(0.35, least(0.85, (gpr_sigma - 55) / 70)) AS w FROM (
+    SELECT * EXCLUDE (m, q) REPLACE (CASE WHEN used THEN 0.35 * gpr_pred_raw + 0.65 * local_pred ELSE gpr_pred_raw END AS gpr_pred_raw) FROM (
+      SELECT *, abs(gpr_pred_raw - m) <= greatest(0.001, 0.01 * greatest(1.0, abs(m))) OR gpr_sigma >= q AS used
+      FROM ev_sql, (SELECT avg(em) AS m, quantile_cont(gpr_sigma, 0.75) AS q FROM ev_sql))) f
+  LEFT JOIN (SELECT uniprot_id, avg(em) AS m FROM ev_sql GROUP BY 1) a ON a.uniprot_id = f.uniprot_id
+  LEFT JOIN (SELECT uniprot_id, cofactor, avg(em) AS m FROM ev_sql GROUP BY ALL) b ON b.uniprot_id = f.uniprot_id AND b.cofactor = f.cofactor) f""")
+view("handed_complex_sql", COMPLEX_SQL.replace("ev_sql e", "handed_sql e"))
+view("handed_weight_sql", WEIGHT_SQL.replace("complex_sql c", "handed_complex_sql c"))
+view("handed_routed_sql", ROUTED_SQL.replace("weight_sql", "handed_weight_sql"))
+PROFILE = ("complexity", "gpr_pred", "quantum_weight", "pred_q_used", "pred_final")
+
+
+def profile_sql(tier, final):
+    return f"""
+SELECT pdb_id, used::INTEGER AS gpr_fallback_used, prior_used, {tier} AS tier, round(complexity, 6) AS complexity, round(gpr_pred, 6) AS gpr_pred,
+  round(quantum_weight, 6) AS quantum_weight, round(pred_q_used, 6) AS pred_q_used, round({final}, 6) AS pred_final,
+  CASE WHEN st_gap < 0.01 AND n5_spin > 0.4 AND hfcc_primary > 15 THEN 'HIGH COUPLING' WHEN n5_spin < 0.2 OR hfcc_primary < 7.5 THEN 'WEAK COUPLING' ELSE 'MODERATE COUPLING' END AS coupling_label
+FROM handed_routed_sql"""
+
+
+def profile(t, single):
+    rows = evals_once(t)
+    return prediction.predict(rows, rows, F.col("failure"), single, evaluating=True).select(
+        "pdb_id", "gpr_fallback_used", "prior_used", "tier", *rounded(*PROFILE), "coupling_label")
+
+
+@query("p00_batch_profiles", profile_sql(
+    "tier", "CASE WHEN st_gap > 0 THEN (pred_q_used - gpr_pred) / 96.485 ELSE pred_final END"))
+def _(t):
+    return profile(t, single=False)
+
+
+@query("p00_single_profiles", profile_sql(
+    "tier || '|single_calibrated'",
+    "gpr_pred + greatest(-CASE WHEN prior_used THEN 10.0 ELSE 20.0 END, least(CASE WHEN prior_used THEN 10.0 ELSE 20.0 END, 0.08 * (pred_q_used - gpr_pred)))"))
+def _(t):
+    return profile(t, single=True)
+
+
 @query("p18_align_features", """
 SELECT pdb_id, """ + ", ".join(f"round(({c} - g{c}) * s{c} / d{c} + m{c}, 6) AS {c}" for c in ("iso", "hb_cap", "flex")) + """
 FROM ev_sql, (SELECT """ + ", ".join(f"avg({c}) AS g{c}, stddev_pop({c}) AS d{c}" for c in ("iso", "hb_cap", "flex")) + """ FROM ev_sql WHERE cofactor = 'FAD'),
