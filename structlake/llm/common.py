@@ -100,3 +100,11 @@ def row_key(frame: DataFrame) -> Column:
     parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
              for c in DOCUMENT_COLUMNS if c in frame.columns]
     return F.md5(F.concat_ws("\x01", *parts))
+
+
+def fresh(frame: DataFrame, name: str) -> str:
+    """A column name that the frame does not have yet."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import row_key
+from .common import fresh, row_key
 
 Q, RATE = 10, 0.08
 #: Longer items are cut into segments of this length, one at every STRIDE characters.
@@ -35,18 +35,27 @@ SEGMENT, STRIDE = 120, 60
 BLOCK_CHARS = 1_000_000
 
 
+def _fold(points: np.ndarray) -> np.ndarray:
+    points = np.where((points >= 65) & (points <= 90), points + 32, points)
+    return np.where((points >= 9) & (points <= 13), 32, points).astype(np.uint64)
+
+
+_FOLDED = _fold(np.arange(1 << 16))
+
+
 def folded(text: str) -> np.ndarray:
     """Code points with A-Z lowered and white space as a blank."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    points = np.where((points >= 65) & (points <= 90), points + 32, points)
-    return np.where((points >= 9) & (points <= 13), 32, points).astype(np.uint64)
+    if len(points) and points.max() >= len(_FOLDED):
+        return _fold(points)
+    return _FOLDED[points]
 
 
 def gram_hashes(points: np.ndarray, q: int = Q) -> np.ndarray:
     """A 64-bit hash of the q-gram at every place, built by doubling."""
     if len(points) < q:
         return np.zeros(0, np.uint64)
-    factor, value, width, done, out = np.uint64(0x9E3779B97F4A7C15), points, 1, 0, None
+    factor, value, width, done, out = 0x9E3779B97F4A7C15, points, 1, 0, None
     while True:
         if q >> (width.bit_length() - 1) & 1:
             part = value[done:]
@@ -54,8 +63,8 @@ def gram_hashes(points: np.ndarray, q: int = Q) -> np.ndarray:
             done += width
         if width * 2 > q:
             break
-        value = value[:-width] * factor + value[width:]
-        factor = factor * factor + np.uint64(2)
+        value = value[:-width] * np.uint64(factor) + value[width:]
+        factor = (factor * factor + 2) % (1 << 64)
         width *= 2
     return out[: len(points) - q + 1]
 
@@ -68,7 +77,9 @@ class Index:
     offsets: np.ndarray
     edits: np.ndarray
     bounds: np.ndarray
+    #: Distinct q-grams in order, and where the owners and places of each begin.
     grams: np.ndarray
+    begin: np.ndarray
     owner: np.ndarray
     place: np.ndarray
     filter: np.ndarray
@@ -95,8 +106,9 @@ class Index:
         bits = min(25, max(12, int(len(flat) * 32).bit_length()))
         sieve = np.zeros(1 << bits, bool)
         sieve[(flat >> np.uint64(64 - bits)).astype(np.int64)] = True
+        grams, begin = np.unique(flat[order], return_index=True)
         return cls(segments, np.array(items, np.int64), np.array(offsets, np.int64), edits,
-                   lengths + 1 - Q * (edits + 1), flat[order], owner[order], place[order], sieve)
+                   lengths + 1 - Q * (edits + 1), grams, np.append(begin, len(flat)), owner[order], place[order], sieve)
 
     def candidates(self, points: np.ndarray) -> Iterator[tuple[int, int]]:
         """(segment, first diagonal of a band) that hold enough shared q-grams."""
@@ -105,9 +117,13 @@ class Index:
             return
         shift = np.uint64(64 - (len(self.filter).bit_length() - 1))
         at = np.flatnonzero(self.filter[(hashes >> shift).astype(np.int64)])
-        low = np.searchsorted(self.grams, hashes[at], "left")
-        n = np.searchsorted(self.grams, hashes[at], "right") - low
-        if not n.sum():
+        if not len(at):
+            return
+        slot = np.searchsorted(self.grams, hashes[at])
+        there = self.grams[np.minimum(slot, len(self.grams) - 1)] == hashes[at]
+        at, slot = at[there], slot[there]
+        low, n = self.begin[slot], self.begin[slot + 1] - self.begin[slot]
+        if not len(at):
             return
         doc_at = np.repeat(at, n)
         post = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
@@ -155,13 +171,25 @@ def aligned(segment: np.ndarray, text: np.ndarray, first: int, last: int) -> tup
     return int(cost[k]), int(start[k]), len(segment) + first + k
 
 
+def placed(segment: np.ndarray, text: np.ndarray, first: int, last: int) -> tuple[int, int, int]:
+    """As ``aligned``; a segment that stands there unchanged is found by a plain search."""
+    low, m = max(0, first), len(segment)
+    region, part = text[low:last + m].tobytes(), segment.tobytes()
+    at = region.find(part)
+    while at >= 0 and at % 8:
+        at = region.find(part, at + 1)
+    if at >= 0:
+        return 0, low + at // 8, low + at // 8 + m
+    return aligned(segment, text, first, last)
+
+
 def hits_in(text: str, index: Index) -> dict[int, tuple[int, int, int, int]]:
     """By item: (matched segments, fewest edits, start, end) of the passages in a text."""
     points = folded(text)
     found: dict[int, dict[int, tuple[int, int, int]]] = {}
     for s, first in index.candidates(points):
         e = int(index.edits[s])
-        edits, start, end = aligned(index.segments[s], points, first, first + 2 * e + 1)
+        edits, start, end = placed(index.segments[s], points, first, first + 2 * e + 1)
         if edits <= e:
             of_item = found.setdefault(int(index.items[s]), {})
             of_item[s] = min(of_item.get(s, (edits, start, end)), (edits, start, end))
@@ -218,7 +246,9 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows without any benchmark passage, in one pass per block."""
-    keyed = docs.withColumn("_key", row_key(docs))
-    hit = contaminated(keyed.select("_key", "text"), benchmark).select("_key").distinct()
-    return keyed.join(hit, "_key", "left_anti").select(*docs.columns)
+    """The rows without any benchmark passage, unchanged."""
+    key = fresh(docs, "_key")
+    keyed = docs.withColumn(key, row_key(docs))
+    hit = contaminated(keyed.select(F.col(key).alias("row_key"), "text"), benchmark).select(
+        F.col("row_key").alias(key)).distinct()
+    return keyed.join(hit, key, "left_anti").select(*docs.columns)
