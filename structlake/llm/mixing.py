@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.prefix import running
 from ..session import checkpoint
-from .common import WORD, let, row_key, whole_text
+from .common import WORD, fresh, let, row_key, whole_text
 
 WEIGHTS, MOST, FAN_IN, SEED = (5, 2, 1), 3, 64, 4
 #: Fractions this close to 0 or 1 are rounding errors of the arithmetic.
@@ -165,6 +165,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Rows equal in every column of documents stand for one another: their
     copies are added and made from one of them.
     """
-    plan = mix(docs, **options).groupBy("row_key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    picked = docs.withColumn("_key", row_key(docs)).join(plan, F.col("_key") == F.col("row_key")).dropDuplicates(["_key"])
-    return picked.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    key, copies, copy = fresh(docs, "_key"), fresh(docs, "_copies"), fresh(docs, "_copy")
+    plan = mix(docs, **options).groupBy(F.col("row_key").alias(key)).agg(F.sum("copies").alias(copies)).where(F.col(copies) > 0)
+    picked = docs.withColumn(key, row_key(docs)).join(plan, key).dropDuplicates([key])
+    return picked.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)

@@ -124,10 +124,10 @@ def spans_of(text: Column, kind: Kind) -> Column:
     return F.when(F.contains(text, F.lit(kind.sign)), kept).otherwise(empty) if kind.sign else kept
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``personal_data``: the spans of each text by kind as listed, then start."""
+def find_personal_data(docs: DataFrame, into: str = "personal_data") -> DataFrame:
+    """``docs`` with the spans of each text, by kind as listed, then start, in column ``into``."""
     text = whole_text(F.col("text"))
-    return docs.select("*", F.concat(*(spans_of(text, k) for k in KINDS)).alias("personal_data"))
+    return docs.select("*", F.concat(*(spans_of(text, k) for k in KINDS)).alias(into))
 
 
 def personal_data_report(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WORD, let, positions, sampled_share, whole_text, words_of
+from .common import WORD, fresh, let, positions, sampled_share, whole_text, words_of
 
 #: Buckets are 2 ** BITS; the model is one array of that many floats.
 BITS = 16
@@ -121,12 +121,13 @@ def ratios(docs: DataFrame, labels: DataFrame, bits: int = BITS,
         F.transform("x", lambda x: x["ratio"]).alias("ratios"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold: float = THRESHOLD,
+def judge(docs: DataFrame, labels: DataFrame, into: str, bits: int = BITS, threshold: float = THRESHOLD,
           trusted_limit: int = TRUSTED_LIMIT) -> DataFrame:
-    """``docs`` with the measures, ``score``, ``base_failed`` and ``kept``."""
+    """``docs`` with a struct column ``into``: the measures, ``score``, ``base_failed`` and ``kept``."""
     # The model is a scalar subquery: evaluated once, shared by the rows of a task, never joined.
     model = ratios(docs, labels, bits, trusted_limit).scalar()
-    figures = let(F.col("_ratios"), lambda r: measures(F.col("text"), r, bits))
+    held = fresh(docs, "_ratios")
+    figures = let(F.col(held), lambda r: measures(F.col("text"), r, bits))
 
     def verdict(q: Column) -> Column:
         failed = (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
@@ -134,14 +135,15 @@ def judge(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold: float
             *(q[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score")),
             failed.alias("base_failed"), (~failed & (q["score"] >= threshold)).alias("kept"))
 
-    return docs.withColumn("_ratios", model).select(*docs.columns, let(figures, verdict).alias("_quality"))
+    return docs.withColumn(held, model).select(*docs.columns, let(figures, verdict).alias(into))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """One row per document with its measures and verdict."""
-    return judge(docs.select("doc_id", "text"), labels, **options).select("doc_id", "_quality.*")
+    return judge(docs.select("doc_id", "text"), labels, "q", **options).select("doc_id", "q.*")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that pass, unchanged."""
-    return judge(docs, labels, **options).where(F.col("_quality.kept")).drop("_quality")
+    into = fresh(docs, "_quality")
+    return judge(docs, labels, into, **options).where(F.col(into)["kept"]).drop(into)

@@ -6,8 +6,8 @@ is dropped once it has spent more.  To spread the walk, the bits are cut into
 ``budget + 1`` blocks; two fingerprints within the budget agree on one block at
 least, so three tries are walked, each below the nodes of its block, and every
 such node is a group of its own.  A node with more than ``GROUP`` fingerprints
-is cut again over the bits that are still free; as fewer bits are free each
-time, this ends, and no pair is lost.  A group yields a forest of its links, not
+is cut again in the same way over the bits that still vary in it; as fewer bits
+are free each time, this ends, and no pair is lost.  A group yields a forest of its links, not
 all pairs; components are then joined over all groups.
 
 Defined cases: null text is the empty text and has fingerprint 0; repeated rows
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import connected_components
 from ..session import checkpoint
-from .common import row_key
+from .common import fresh, row_key
 
 WIDTH, SEED, BUDGET = 3, 42, 2
 #: Largest trie node that is walked as one group: at most GROUP ** 2 / 2 pairs.
@@ -121,38 +121,46 @@ def _walk_groups(budget: int):
     return run
 
 
-def _cut(mask: int, parts: int) -> list[int]:
-    """The mask with one more of ``parts`` equal shares of its free bits, for each share."""
-    free = [b for b in range(63, -1, -1) if not mask >> b & 1]
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _cut(fixed: int, parts: int) -> list[int]:
+    """The bits held fixed with one more of ``parts`` equal shares of the others, for each share."""
+    free = [b for b in range(63, -1, -1) if not fixed >> b & 1]
     ends = [round(len(free) * k / parts) for k in range(parts + 1)]
-    return [mask | sum(1 << b for b in free[x:y]) for x, y in zip(ends, ends[1:])]
+    return [_signed(fixed | sum(1 << b for b in free[x:y])) for x, y in zip(ends, ends[1:])]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _cut_nodes(parts: int):
+    """For crowded nodes: the fixed bits of the nodes below; bits that are equal in the whole node are fixed for all."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            fixed = ~(frame["some"].to_numpy() ^ frame["every"].to_numpy())
+            yield frame[["mask", "node"]].assign(finer=[_cut(int(f) & (2 ** 64 - 1), parts) for f in fixed])
+    return run
 
 
 def links(prints: DataFrame, budget: int = BUDGET, group: int = GROUP) -> DataFrame:
     """Edges (a, b) that connect all distinct ``fp`` within ``budget`` bits of each other."""
-    masks = [0]
-    level = prints.select("fp", F.lit(0).cast("bigint").alias("mask"))
+    # A node with more prints than this has more varying bits than the budget, so each cut makes progress.
+    assert group >= 1 << budget
+    level = prints.select("fp", F.array(*(F.lit(m).cast("bigint") for m in _cut(0, budget + 1))).alias("finer"))
     edges = None
     while True:
-        finer = {m: _cut(m, budget + 1) for m in masks}
-        table = F.create_map(*(x for m, more in finer.items() for x in (
-            F.lit(_signed(m)).cast("bigint"), F.array(*(F.lit(_signed(k)).cast("bigint") for k in more)))))
-        masks = [k for more in finer.values() for k in more]
-        keyed = checkpoint(level.select("fp", F.explode(table[F.col("mask")]).alias("mask")).withColumn(
-            "node", F.col("fp").bitwiseAND(F.col("mask"))))
-        sizes = checkpoint(keyed.groupBy("mask", "node").agg(F.count("*").alias("n")).where("n > 1"))
-        small = keyed.join(sizes.where(F.col("n") <= group).drop("n"), ["mask", "node"], "left_semi")
+        keyed = checkpoint(level.select("fp", F.explode("finer").alias("mask")).withColumn(
+            "node", F.col("fp").bitwiseAND(F.col("mask"))).distinct())
+        sizes = checkpoint(keyed.groupBy("mask", "node").agg(
+            F.count("*").alias("n"), F.bit_or("fp").alias("some"), F.bit_and("fp").alias("every")).where("n > 1"))
+        small = keyed.join(sizes.where(F.col("n") <= group).select("mask", "node"), ["mask", "node"], "left_semi")
         grouped = small.groupBy("mask", "node").agg(F.collect_list("fp").alias("fps")).select("fps")
         walked = grouped.mapInPandas(_walk_groups(budget), "a bigint, b bigint")
         edges = walked if edges is None else edges.union(walked)
-        large = sizes.where(F.col("n") > group).drop("n")
+        large = sizes.where(F.col("n") > group)
         if not large.take(1):
             return edges
-        level = keyed.join(large, ["mask", "node"], "left_semi").select("fp", "mask")
+        finer = large.mapInPandas(_cut_nodes(budget + 1), "mask bigint, node bigint, finer array<bigint>")
+        level = keyed.join(finer, ["mask", "node"]).select("fp", "finer")
 
 
 def components(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -177,8 +185,12 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of every component the row with the smallest id; of equal ids the one that comes first by content."""
+    """Of every component the row with the smallest id; of equal ids the one that comes first by content.
+
+    Rows equal in the columns of documents count as one; which of their extra columns stay is left open.
+    """
+    key = fresh(docs, "_key")
     found = near_duplicates(docs)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
-        F.min("row_key").alias("_key")).select("_key")
-    return docs.withColumn("_key", row_key(docs)).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+        F.min("row_key").alias(key)).select(key)
+    return docs.withColumn(key, row_key(docs)).join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
