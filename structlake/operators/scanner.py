@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C, residues as R
 from ..session import checkpoint
+from .spatial import with_center
 
 RESIDUE_NAMES = ["structure_id", "resn", "chain", "resi"]
 
@@ -125,8 +126,7 @@ def pocket_distances(atoms: DataFrame, frame: DataFrame) -> DataFrame:
         "structure_id", "cx", "cy", "cz", "n5_x", "n5_y", "n5_z",
         "o4_x", "o4_y", "o4_z")
     return (
-        atoms.where(~F.col("resn").isin(*C.SCANNED_COFACTORS))
-        .join(center, "structure_id")
+        with_center(atoms.where(~F.col("resn").isin(*C.SCANNED_COFACTORS)), center)
         .select("structure_id", "line_no", "atom_name", "resn", "chain", "resi",
                 "x", "y", "z", _to("c").alias("dist"),
                 _to("n5_").alias("dist_n5"), _to("o4_").alias("dist_o4"))
@@ -147,7 +147,7 @@ def adenine_distance(atoms: DataFrame, frame: DataFrame) -> DataFrame:
     center = frame.where(F.col("center_type").isNotNull()).select(
         "structure_id", "cx", "cy", "cz")
     return (
-        atoms.where(is_adenine()).join(center, "structure_id")
+        with_center(atoms.where(is_adenine()), center)
         .groupBy("structure_id").agg(F.min(_to("c")).alias("adenine_distance"))
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.residues import is_cofactor
 from ..session import checkpoint
-from .spatial import POSITION, RESIDUE, pairs_within
+from .spatial import POSITION, RESIDUE, pairs_within, with_center
 
 _NOT_NUMERIC = 10 ** 9
 
@@ -128,8 +128,7 @@ def residue_distances(atoms: DataFrame, picked: DataFrame,
     squared = sum((F.col(a) - F.col(f"c{a}")) * (F.col(a) - F.col(f"c{a}"))
                   for a in "xyz")
     return (
-        atoms.where(~is_cofactor(F.col("resn")))
-        .join(centers, "structure_id")
+        with_center(atoms.where(~is_cofactor(F.col("resn"))), centers)
         .groupBy(*key).agg(F.sqrt(F.min(squared)).alias("min_dist"))
     )
 

@@ -77,6 +77,24 @@ def pairs_within(centers: DataFrame, points: DataFrame, radius: float,
     return joined.where(inside)
 
 
+#: Parts a structure's points are cut into where each meets its one centre.
+SALTS = 16
+
+
+def with_center(points: DataFrame, centers: DataFrame) -> DataFrame:
+    """Points joined to the one row of ``centers`` of their structure.
+
+    Points are dealt by structure and a hash of their place, and the centre is
+    repeated for each part, so a structure that holds a third of all points is
+    not gathered in one task, and what is grouped by structure afterwards
+    combines per part first.
+    """
+    salt = F.pmod(F.xxhash64("x", "y", "z"), F.lit(SALTS)).cast("int")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return points.withColumn("_part", salt).join(
+        centers.withColumn("_part", parts), ["structure_id", "_part"]).drop("_part")
+
+
 def residues(atoms: DataFrame, key=RESIDUE) -> DataFrame:
     """Residue table: atom count, centroid, mean B-factor."""
     return atoms.groupBy(*key).agg(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import constants as C, hashing, residues as R
 from ..sources.structure_text import is_coordinate_record
 from .prefix import running
-from .spatial import POSITION
+from .spatial import POSITION, with_center
 
 _RECORD = ["structure_id", "line_no", "sub_line", "record", "atom_name", "altloc",
            "resn", "chain", "resi", "icode", "x", "y", "z", "tail"]
@@ -50,7 +50,7 @@ def coordinate_hashes(atoms: DataFrame, radius: float = 12.0) -> DataFrame:
     parts = [F.col(a) - F.col(f"c{a}") for a in "xyz"]
     inside = F.sqrt(sum(p * p for p in parts)) <= radius
     text = F.format_string("%.3f %.3f %.3f", "x", "y", "z")
-    marked = atoms.join(centers, "structure_id").select(
+    marked = with_center(atoms, centers).select(
         "structure_id", "line_no", inside.alias("inside"), text.alias("text"))
     placed = running(marked, [F.col("line_no")], keys=["structure_id", "inside"], number="place")
     return placed.groupBy("structure_id").agg(

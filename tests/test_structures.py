@@ -157,6 +157,26 @@ def test_hot_structure_is_split_over_cells(spark):
     assert spatial.burial(atoms).count() == 1000
 
 
+def test_hot_structure_meets_its_centre_in_parts(spark):
+    """Without a broadcast, the atoms of one structure still go to many tasks."""
+    rows = [("hot" if i % 3 else f"s{i}", float(i), float(i % 37), float(i % 23)) for i in range(3000)]
+    atoms = spark.createDataFrame(rows, "structure_id string, x double, y double, z double")
+    centers = atoms.select("structure_id").distinct().withColumn("cx", F.lit(0.0))
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        joined = spatial.with_center(atoms, centers)
+        parts = [r["count"] for r in joined.where("structure_id = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
+        plan = joined.groupBy("structure_id").agg(F.max("x"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(parts) == 2000 and len(parts) >= 5 and max(parts) < 1000
+    assert "partial_max" in plan and plan.count("Exchange hashpartitioning(structure_id") >= 2
+
+
 def test_edit_keeps_backbone_and_renders(spark):
     lines = line_table(spark, s=[
         record(1, "N", "GLN", "A", 5, 0, 0, 0), record(2, "CA", "GLN", "A", 5, 1, 0, 0),
