@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, maxent, mixing, pii, quality, secrets_crf, shards, simhash
+from . import decontaminate, langid, licenses, maxent, mixing, pii, quality, secrets_crf, shards, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return shards.shard_report(table(spark, folder, "documents"))
 
 
+@query("op6_license_scan")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_report(table(spark, folder, "documents"))
+
+
 @query("op7_simhash_near_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, folder, "documents"))
