@@ -22,11 +22,11 @@ from .common import let, lower_ascii, whole_text
 
 #: A text without one of these words has no known sentence.
 SIGN = r"(?i)licen[cs]e|permission|redistribut|warrant|public domain|creative commons|\bCC[ -]?(0|BY)"
-BOUNDARY = r"(?<=[.!?;:])\s+|\n\s*\n"
+BOUNDARY = r"(?<=[.!?;:])(?<![Ii]dentifier:)\s+|\n\s*\n"
 
 # Known sentences, as patterns over the normalised sentence, in the order they are tried.
 SENTENCES = {
-    "spdx": r"spdx license identifier ([a-z0-9.+-]+)",
+    "spdx": r"spdx[ -]license[ -]identifier ([a-z0-9.+-]+)",
     "apache2-basis": r"basis without warranties or conditions of any kind",
     "apache2-copy": r"you may not use this file except in compliance with the license",
     "apache2-obtain": r"you may obtain a copy of the license at",
