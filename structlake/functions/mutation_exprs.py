@@ -142,10 +142,9 @@ def has_substitution(mutations: Column, resseqs: tuple, mut: str | None = None)
     return F.exists(mutations, hit)
 
 
-def strain_energy(mutations: Column, steric_sum: Column) -> Column:
+def strain_energy(mutations: Column, steric_sum: Column, hinges: tuple = ("396", "402")) -> Column:
     """Backbone strain where one of the two hinge residues is substituted."""
-    hinge = has_substitution(mutations, ("396", "402"))
-    return F.when(hinge, F.abs(steric_sum) + 0.5).otherwise(F.lit(0.0))
+    return F.when(has_substitution(mutations, hinges), F.abs(steric_sum) + 0.5).otherwise(F.lit(0.0))
 
 
 def display_effects(raw: Column) -> tuple[Column, Column]:

@@ -216,9 +216,8 @@ def _(t):
 SELECT set_id, round(CASE WHEN strained THEN abs(steric) + 0.5 ELSE 0.0 END, 6) AS strain, to_cys FROM set_sql""")
 def _(t):
     _lfp, steric = M.effect_sums(muts())
-    hinge = M.has_substitution(muts(), ("39", "40"))
     return sets(t).select(
-        "set_id", F.round(F.when(hinge, F.abs(steric) + 0.5).otherwise(F.lit(0.0)), 6).alias("strain"),
+        "set_id", F.round(M.strain_energy(muts(), steric, ("39", "40")), 6).alias("strain"),
         M.has_substitution(muts(), ("42",), "C").alias("to_cys"))
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F, types as T
 
 from ...functions import constants as C, jsonio, rules
 from ...operators import profiles
+from ...session import checkpoint_folder
 from ...sources import sinks, tables
 from ..registry import query, view
 from .structures import rounded
@@ -19,8 +18,7 @@ AUDIT = ("em", "st_gap", "n5_spin", "hfcc_primary", "iso", "hb_cap", "flex")
 
 def scratch_path(t) -> str:
     """A fresh folder beside the shared checkpoint folder of the session."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return os.path.join(root, f"scratch-{uuid.uuid4().hex}")
+    return f"{checkpoint_folder(t.spark)}/scratch-{uuid.uuid4().hex}"
 
 
 # --- tables from files: the measurements are written as CSV and read back -------
@@ -69,30 +67,28 @@ def _(t):
     return good.unionByName(absent)
 
 
-@query("s10_append_log", "SELECT label, count(*) AS n, count(*) FILTER (seq % 2 = 1) AS n_second FROM log_fx GROUP BY 1")
+@query("s10_append_log", "SELECT seq, profile_id, label, value, CASE WHEN seq % 2 = 1 THEN 1.0::DOUBLE END AS gpr_sigma FROM log_fx")
 def _(t):
     path = scratch_path(t)
     expected = ["seq", "profile_id", "label", "value"]
     sinks.append_log(t.log.where(F.col("seq") % 2 == 0), path, expected)
     sinks.append_log(t.log.where(F.col("seq") % 2 == 1).withColumn("gpr_sigma", F.lit(1.0)), path, expected)
-    return sinks.read_log(t.spark, path).groupBy("label").agg(
-        F.count("*").alias("n"), F.count("gpr_sigma").alias("n_second"))
+    return sinks.read_log(t.spark, path).select(*expected, "gpr_sigma")
 
 
-@query("s11_overwrite_table", "SELECT count(*) AS n, max(seq) AS last FROM log_fx WHERE seq % 2 = 0")
+@query("s11_overwrite_table", "SELECT seq, value FROM log_fx WHERE seq % 2 = 0")
 def _(t):
     path = scratch_path(t)
     sinks.overwrite_table(t.log.select("seq", "value"), path)
     sinks.overwrite_table(t.log.where(F.col("seq") % 2 == 0).select("seq", "value"), path)
-    return t.spark.read.parquet(path).agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+    return t.spark.read.parquet(path)
 
 
-@query("s12_last_row_per_profile", "SELECT count(DISTINCT profile_id) AS n, count(DISTINCT profile_id) AS n_profiles FROM log_fx")
+@query("s12_last_row_per_profile", "SELECT profile_id, max(seq) AS seq, arg_max(label, seq) AS label, arg_max(value, seq) AS value FROM log_fx GROUP BY 1")
 def _(t):
     path = scratch_path(t)
     sinks.overwrite_table(profiles.latest_per_key(t.log, "profile_id"), path)
-    return t.spark.read.parquet(path).agg(
-        F.count("*").alias("n"), F.countDistinct("profile_id").alias("n_profiles"))
+    return t.spark.read.parquet(path).select("profile_id", "seq", "label", "value")
 
 
 @query("s14_finite_json", """
@@ -125,11 +121,10 @@ def _(t):
 
 
 @query("u01_append_rows", """
-SELECT label, count(*) AS n, max(seq) AS last FROM (SELECT * FROM log_fx UNION ALL SELECT * REPLACE (seq + 1000000 AS seq) FROM log_fx WHERE value > 20) GROUP BY 1""")
+SELECT * FROM log_fx UNION ALL SELECT * REPLACE (seq + 1000000 AS seq) FROM log_fx WHERE value > 20""")
 def _(t):
     extra = t.log.where(F.col("value") > 20).withColumn("seq", F.col("seq") + 1000000)
-    return profiles.append_rows(t.log, extra).groupBy("label").agg(
-        F.count("*").alias("n"), F.max("seq").alias("last"))
+    return profiles.append_rows(t.log, extra)
 
 
 @query("u02_append_aligned", """

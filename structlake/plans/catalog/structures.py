@@ -98,9 +98,9 @@ def _(t):
 WITH cat AS (SELECT s_suppkey AS structure_id, concat('dir', CAST(s_nationkey % 3 AS VARCHAR), '/', s_name) AS location,
                     CAST(s_nationkey % 3 AS INTEGER) AS priority FROM supplier
              UNION ALL SELECT s_suppkey, concat('cache/', s_name), 1 FROM supplier WHERE s_suppkey % 4 = 0)
-SELECT o_orderkey AS pdb_key, CAST(o_orderkey % 150 AS VARCHAR) AS pdb_id, best.location AS location
+SELECT o_orderkey AS pdb_key, CAST(o_orderkey % (SELECT 3 * count(*) // 2 FROM supplier) AS VARCHAR) AS pdb_id, best.location AS location
 FROM orders LEFT JOIN (SELECT structure_id, min(struct_pack(p := priority, location := location)) AS best
-                       FROM cat GROUP BY 1) c ON c.structure_id = o_orderkey % 150""")
+                       FROM cat GROUP BY 1) c ON c.structure_id = o_orderkey % (SELECT 3 * count(*) // 2 FROM supplier)""")
 def _(t):
     supplier = t.table("supplier")
     name = F.col("s_suppkey").cast("string").alias("structure_id")
@@ -110,9 +110,11 @@ def _(t):
         folder.cast("int").alias("priority"),
     ).unionByName(supplier.where(F.col("s_suppkey") % 4 == 0).select(
         name, F.concat(F.lit("cache/"), "s_name").alias("location"), F.lit(1).alias("priority")))
-    wanted = t.table("orders").select(
+    # Half as many ids again as there are structures, so that some are not found.
+    ids = supplier.agg((F.count("*") * 3 / 2).cast("bigint").alias("n")).scalar()
+    wanted = t.table("orders").withColumn("_ids", ids).select(
         F.col("o_orderkey").alias("pdb_key"),
-        (F.col("o_orderkey") % 150).cast("string").alias("pdb_id"))
+        (F.col("o_orderkey") % F.col("_ids")).cast("string").alias("pdb_id"))
     return text.locate_structures(wanted, catalog)
 
 
