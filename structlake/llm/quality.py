@@ -8,9 +8,15 @@ hashed into ``2 ** bits`` buckets.  A document's score is
 the mean log ratio of its features; every document is held against the same
 ``threshold``.
 
+A mean over a whole text hides a few insults, so rare strong words decide too:
+in a sample of labelled rows, words are counted by documents, and those that
+stand far more often in toxic than in trusted ones are listed with their log
+ratio.  A document whose distinct listed words add up to ``TOXIC`` is dropped.
+
 Defined cases: null text is the empty text, has no word and fails the base
 rule; repeated rows are judged alike; without trusted documents all ratios
-are 0 and only the base rule speaks.
+are 0 and only the base rule speaks; without rows labelled toxic no word is
+listed.
 """
 
 from __future__ import annotations
@@ -27,10 +33,14 @@ TRUSTED_LIMIT = 20_000
 THRESHOLD = -0.8
 #: Expected count below which a bucket says little.
 PRIOR = 5.0
+#: Listed words stand in so many toxic documents, and have this log ratio (of counts, one added); the strongest stay.
+LISTED_DOCS, LISTED_RATIO, LISTED_LIMIT = 5, 1.5, 1_000
+#: Sum of log ratios of listed words at which a document is dropped.
+TOXIC = 5.0
 SYMBOL = "[#*$%&|<>]"
 
 
-def measures(text: Column, ratios: Column, bits: int) -> Column:
+def measures(text: Column, ratios: Column, listed: Column, bits: int) -> Column:
     """All figures of one text in a struct; the words are split and hashed once."""
     text = whole_text(text)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
@@ -42,7 +52,8 @@ def measures(text: Column, ratios: Column, bits: int) -> Column:
             F.regexp_count(text, F.lit(SYMBOL)).cast("bigint").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
             repeated_words(hashes).cast("bigint").alias("n_repeat_words"),
-            let(features(text, hashes, bits), lambda grams: mean(grams, ratios)).alias("score"))
+            let(features(text, hashes, bits), lambda grams: mean(grams, ratios)).alias("score"),
+            toxicity(text, listed).alias("toxicity"))
 
     return let(words_of(text), lambda words: let(hashed(words), lambda hashes: figures(words, hashes)))
 
@@ -56,6 +67,18 @@ def mean(grams: Column, ratios: Column) -> Column:
     return F.when(F.size(grams) == 0, F.lit(0.0)).otherwise(total / F.size(grams))
 
 
+def folded_words(text: Column) -> Column:
+    """Hashes of the distinct words of a text without marks, in small letters."""
+    return F.array_distinct(hashed(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
+
+
+def toxicity(text: Column, listed: Column) -> Column:
+    """Sum of the log ratios of the listed words of a text."""
+    found = F.array_intersect(folded_words(text), listed["words"])
+    return F.aggregate(found, F.lit(0.0), lambda acc, w: acc + listed["ratios"][(
+        F.array_position(listed["words"], w) - 1).cast("int")])
+
+
 def repeated_words(hashes: Column, width: int = 5) -> Column:
     """From the word hashes of a text: how many lie in a window of ``width`` words found twice or more.
 
@@ -121,19 +144,45 @@ def ratios(docs: DataFrame, labels: DataFrame, bits: int = BITS,
         F.transform("x", lambda x: x["ratio"]).alias("ratios"))
 
 
+def listed_words(docs: DataFrame, labels: DataFrame, limit: int = TRUSTED_LIMIT) -> DataFrame:
+    """One row with a struct: ``words`` (hashes) that mark toxic documents, and their ``ratios``.
+
+    Of toxic and of trusted rows about ``limit`` each are read; whole hashes are counted, not buckets, so that no
+    other word of a large corpus shares a listed one's ratio.
+    """
+    def share(rows: DataFrame, toxic: int) -> DataFrame:
+        return sampled_share(rows.select("doc_id"), F.col("doc_id"), limit).distinct().withColumn("toxic", F.lit(toxic))
+
+    bad = share(labels.where(F.col("toxic") == 1), 1)
+    good = share(labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)), 0)
+    ids = bad.union(good).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # A null beside the words counts the documents.
+    words = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", F.explode(F.concat(
+        folded_words(whole_text(F.col("text"))), F.array(F.lit(None).cast("bigint")))).alias("word"))
+    counted = words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    totals = counted.where("word is null").select(F.col("bad").alias("all_bad"), F.col("good").alias("all_good"))
+    expected = F.col("good") * F.col("all_bad") / F.greatest(F.col("all_good"), F.lit(1))
+    scored = counted.where((F.col("bad") >= LISTED_DOCS) & F.col("word").isNotNull()).join(F.broadcast(totals)).select(
+        "word", F.log((F.col("bad") + 1) / (expected + 1)).alias("ratio")).where(F.col("ratio") >= LISTED_RATIO)
+    return scored.orderBy(F.desc("ratio"), "word").limit(LISTED_LIMIT).agg(F.sort_array(F.collect_list(F.struct(
+        "word", "ratio"))).alias("x")).select(F.struct(
+            F.transform("x", lambda x: x["word"]).alias("words"), F.transform("x", lambda x: x["ratio"]).alias("ratios")).alias("listed"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, into: str, bits: int = BITS, threshold: float = THRESHOLD,
           trusted_limit: int = TRUSTED_LIMIT) -> DataFrame:
-    """``docs`` with a struct column ``into``: the measures, ``score``, ``base_failed`` and ``kept``."""
-    # The model is a scalar subquery: evaluated once, shared by the rows of a task, never joined.
-    model = ratios(docs, labels, bits, trusted_limit).scalar()
+    """``docs`` with a struct column ``into``: the measures, ``score``, ``toxicity``, ``base_failed`` and ``kept``."""
+    # The models are scalar subqueries: evaluated once, shared by the rows of a task, never joined.
+    model = F.struct(ratios(docs, labels, bits, trusted_limit).scalar().alias("ratios"),
+                     listed_words(docs, labels, trusted_limit).scalar().alias("listed"))
     held = fresh(docs, "_ratios")
-    figures = let(F.col(held), lambda r: measures(F.col("text"), r, bits))
+    figures = let(F.col(held), lambda m: measures(F.col("text"), m["ratios"], m["listed"], bits))
 
     def verdict(q: Column) -> Column:
         failed = (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
         return F.struct(
-            *(q[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score")),
-            failed.alias("base_failed"), (~failed & (q["score"] >= threshold)).alias("kept"))
+            *(q[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "toxicity")),
+            failed.alias("base_failed"), (~failed & (q["score"] >= threshold) & (q["toxicity"] < TOXIC)).alias("kept"))
 
     return docs.withColumn(held, model).select(*docs.columns, let(figures, verdict).alias(into))
 
