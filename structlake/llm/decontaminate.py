@@ -8,6 +8,11 @@ a document that also stand in the benchmark are counted in bands of diagonals
 that overlap by half; bands that reach the bound are verified by an alignment
 within the band.
 
+Shorter excerpts cover no such segment, so items are also held whole against
+the documents: where the q-grams shared along a band of diagonals suffice for
+one of the item's pieces of ``PIECE`` characters, one at every ``STEP``, that
+piece is aligned.  Every excerpt of ``EXCERPT`` characters covers a piece.
+
 The benchmark is read in blocks of bounded size, each held against all
 documents: what is shipped to the tasks does not grow with either table.
 
@@ -31,6 +36,9 @@ from .common import fresh, row_key
 Q, RATE = 10, 0.08
 #: Longer items are cut into segments of this length, one at every STRIDE characters.
 SEGMENT, STRIDE = 120, 60
+#: Pieces that excerpts are found by, one at every STEP characters and at the end; any EXCERPT characters cover one.
+PIECE, STEP = 66, 4
+EXCERPT = PIECE + STEP - 1
 #: Characters of benchmark text held against the documents at a time.
 BLOCK_CHARS = 1_000_000
 
@@ -83,12 +91,21 @@ class Index:
     owner: np.ndarray
     place: np.ndarray
     filter: np.ndarray
+    #: Length of the longest segment.
+    reach: int
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str]], rate: float) -> "Index":
+    def build(cls, rows: list[tuple[int, str]], rate: float, whole: bool = False) -> "Index":
+        """Of segments, or of ``whole`` items, with the edits and bound of a piece."""
         segments, items, offsets = [], [], []
         for number, (_, text) in enumerate(rows):
             points = folded(text)
+            if whole:
+                if len(points) >= PIECE:
+                    segments.append(points)
+                    items.append(number)
+                    offsets.append(0)
+                continue
             last = max(0, len(points) - SEGMENT)
             for start in [*range(0, last, STRIDE), last]:
                 if len(points) >= Q:
@@ -96,8 +113,9 @@ class Index:
                     items.append(number)
                     offsets.append(start)
         lengths = np.array([len(s) for s in segments], np.int64)
+        needed = np.full_like(lengths, PIECE) if whole else lengths
         # No more edits than leave one shared q-gram for sure.
-        edits = np.minimum((lengths * rate).astype(np.int64), lengths // Q - 1)
+        edits = np.minimum((needed * rate).astype(np.int64), needed // Q - 1)
         grams = [gram_hashes(s) for s in segments]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -108,11 +126,11 @@ class Index:
         sieve[(flat >> np.uint64(64 - bits)).astype(np.int64)] = True
         grams, begin = np.unique(flat[order], return_index=True)
         return cls(segments, np.array(items, np.int64), np.array(offsets, np.int64), edits,
-                   lengths + 1 - Q * (edits + 1), grams, np.append(begin, len(flat)), owner[order], place[order], sieve)
+                   needed + 1 - Q * (edits + 1), grams, np.append(begin, len(flat)), owner[order], place[order], sieve,
+                   int(lengths.max(initial=0)))
 
-    def candidates(self, points: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(segment, first diagonal of a band) that hold enough shared q-grams."""
-        hashes = gram_hashes(points)
+    def candidates(self, hashes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(segment, first diagonal of a band, places in the segment) that hold enough shared q-grams."""
         if not len(hashes) or not len(self.grams):
             return
         shift = np.uint64(64 - (len(self.filter).bit_length() - 1))
@@ -128,15 +146,18 @@ class Index:
         doc_at = np.repeat(at, n)
         post = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         segment, place = self.owner[post], self.place[post]
-        diagonal = doc_at - place + SEGMENT  # never negative
+        diagonal = doc_at - place + self.reach  # never negative
         width = self.edits[segment] + 1
         band = diagonal // width
         # Bands take two widths of diagonals each and overlap by one.
         keys = np.concatenate([segment << 40 | band, segment << 40 | np.maximum(band - 1, 0)])
-        found, counts = np.unique(keys, return_counts=True)
+        order = np.argsort(keys, kind="stable")
+        places = np.concatenate([place, place])[order]
+        found, first, counts = np.unique(keys[order], return_index=True, return_counts=True)
         owner = found >> 40
-        for key, s in zip(found[counts >= self.bounds[owner]].tolist(), owner[counts >= self.bounds[owner]].tolist()):
-            yield s, (key & ((1 << 40) - 1)) * int(self.edits[s] + 1) - SEGMENT
+        enough = counts >= self.bounds[owner]
+        for key, s, k, n in zip(*(x[enough].tolist() for x in (found, owner, first, counts))):
+            yield s, (key & ((1 << 40) - 1)) * int(self.edits[s] + 1) - self.reach, places[k:k + n]
 
 
 def aligned(segment: np.ndarray, text: np.ndarray, first: int, last: int) -> tuple[int, int, int]:
@@ -171,6 +192,21 @@ def aligned(segment: np.ndarray, text: np.ndarray, first: int, last: int) -> tup
     return int(cost[k]), int(start[k]), len(segment) + first + k
 
 
+def fewest_edits(pieces: np.ndarray, text: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """As the edits of ``aligned``, for many pieces of equal length at once, each along ``width`` diagonals."""
+    far, n, steps = 1 << 20, len(text), np.arange(width)
+    ends = first[:, None] + steps
+    cost = np.where((ends >= 0) & (ends <= n), 0, far)
+    last = np.full((len(pieces), 1), far)
+    for sign in pieces.T:
+        ends = ends + 1
+        valid = (ends >= 0) & (ends <= n)
+        match = cost + (text[np.clip(ends - 1, 0, n - 1)] != sign[:, None])
+        best = np.minimum(np.where(valid & (ends >= 1), match, far), np.concatenate([cost[:, 1:], last], axis=1) + 1)
+        cost = np.where(valid, np.minimum.accumulate(np.where(valid, best, far) - steps, axis=1) + steps, far)
+    return cost.min(axis=1)
+
+
 def placed(segment: np.ndarray, text: np.ndarray, first: int, last: int) -> tuple[int, int, int]:
     """As ``aligned``; a segment that stands there unchanged is found by a plain search."""
     low, m = max(0, first), len(segment)
@@ -183,16 +219,49 @@ def placed(segment: np.ndarray, text: np.ndarray, first: int, last: int) -> tupl
     return aligned(segment, text, first, last)
 
 
-def hits_in(text: str, index: Index) -> dict[int, tuple[int, int, int, int]]:
-    """By item: (matched segments, fewest edits, start, end) of the passages in a text."""
+def pieces_in(points: np.ndarray, hashes: np.ndarray, wholes: Index,
+              known: dict[int, dict[int, tuple[int, int, int]]]) -> dict[int, dict[int, tuple[int, int, int]]]:
+    """By item that is not yet known, by piece: (edits, start, end) of the pieces of items in a text."""
+    found: dict[int, dict[int, tuple[int, int, int]]] = {}
+    for s, first, places in wholes.candidates(hashes):
+        item, whole, e = int(wholes.items[s]), wholes.segments[s], int(wholes.edits[s])
+        if item in known:
+            continue
+        last = len(whole) - PIECE
+        starts = np.array([*range(0, last, STEP), last])
+        # A repeated q-gram of the text counts once for each place in the item.
+        places = np.unique(places)
+        shared = np.searchsorted(places, starts + PIECE - Q, side="right") - np.searchsorted(places, starts)
+        starts = starts[shared >= wholes.bounds[s]]
+        if not len(starts):
+            continue
+        edits = fewest_edits(whole[starts[:, None] + np.arange(PIECE)], points, first + starts, 2 * e + 2)
+        starts, edits = starts[edits <= e].tolist(), edits[edits <= e].tolist()
+        # The first and the last piece give the passage; those in between are counted.
+        ends = {start: placed(whole[start:start + PIECE], points, first + start, first + start + 2 * e + 1)
+                for start in starts[:1] + starts[-1:]}
+        for start, cost in zip(starts, edits):
+            of_item, hit = found.setdefault(item, {}), ends.get(start, (cost, *ends[starts[0]][1:]))
+            of_item[start] = min(of_item.get(start, hit), hit)
+    return found
+
+
+def hits_in(text: str, index: Index, wholes: Index | None = None) -> dict[int, tuple[int, int, int, int]]:
+    """By item: (matched segments, fewest edits, start, end) of the passages in a text.
+
+    Items without a matched segment are looked for by pieces if ``wholes`` is given; the pieces count as segments then.
+    """
     points = folded(text)
+    hashes = gram_hashes(points)
     found: dict[int, dict[int, tuple[int, int, int]]] = {}
-    for s, first in index.candidates(points):
+    for s, first, _ in index.candidates(hashes):
         e = int(index.edits[s])
         edits, start, end = placed(index.segments[s], points, first, first + 2 * e + 1)
         if edits <= e:
             of_item = found.setdefault(int(index.items[s]), {})
             of_item[s] = min(of_item.get(s, (edits, start, end)), (edits, start, end))
+    if wholes:
+        found |= pieces_in(points, hashes, wholes, found)
     return {item: (len(by), *min(by.values())[:1], min(x[1] for x in by.values()), max(x[2] for x in by.values()))
             for item, by in found.items()}
 
@@ -222,15 +291,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, bloc
         f", item_id {item_type}, n_segments int, edits int, start bigint, end bigint")
     out = spark.createDataFrame([], schema)
     for rows in _blocks(benchmark, block_chars):
-        shipped = spark.sparkContext.broadcast(vars(Index.build(rows, rate)))
+        shipped = spark.sparkContext.broadcast([vars(Index.build(rows, rate, whole)) for whole in (False, True)])
         ids = spark.sparkContext.broadcast([r[0] for r in rows])
 
         def run(frames: Iterator[pd.DataFrame], shipped=shipped, ids=ids) -> Iterator[pd.DataFrame]:
-            index = Index(**shipped.value)
+            index, wholes = (Index(**x) for x in shipped.value)
             for frame in frames:
                 at, hits = [], []
                 for k, text in enumerate(frame["text"]):
-                    for item, values in hits_in(text, index).items() if text else ():
+                    for item, values in hits_in(text, index, wholes).items() if text else ():
                         at.append(k)
                         hits.append((ids.value[item], *values))
                 more = pd.DataFrame(hits, columns=["item_id", "n_segments", "edits", "start", "end"])
