@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, maxent, mixing, pii, quality, secrets_crf, shards, simhash
+from . import (
+    decontaminate, langid, licenses, maxent, mixing, pieces, pii, quality, secrets_crf, shards, simhash,
+)
 from .common import table
 
+PIECES = "piece_bpe_32k.model"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -68,3 +71,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_decontamination")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_sentencepiece")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from public_tokenizers import path
+    return pieces.encoding_report(table(spark, folder, "documents"), path(PIECES))
