@@ -9,9 +9,9 @@ are joined back by position.  Decoding goes the same way back: ids are cut
 before each marked piece, and every distinct run is turned into text once.
 
 What is shipped is bounded: the model, and the most frequent words (at most
-``FREQUENT``, none over ``LONGEST`` bytes).  A word outside that table is
-segmented once per ``LOCAL`` further words of a task, where it occurs: joining
-these by a shuffle would move every text, for words that mostly occur once.
+``FREQUENT``, none over ``LONGEST`` bytes).  The distinct words outside that
+table are segmented once for each block of texts that holds them: joining these
+by a shuffle would move every text, for words that mostly occur once.
 
 A marked word is named by its text after the first mark, with further marks as
 spaces, so that the library's own leading mark completes it.
@@ -33,14 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from sentencepiece import SentencePieceProcessor
 
+from ..session import checkpoint
 from .common import fresh
 
 MARK = "▁"
-FREQUENT, LONGEST = 1 << 18, 64
-#: Words that a task remembers beside the shipped table.
-LOCAL = 1 << 18
-#: Words counted before a task hands them on; characters read, or bytes made, before it does.
-FLUSH, BULK = 1 << 19, 1 << 24
+FREQUENT, LONGEST = 1 << 17, 64
+#: Beyond so many words beside the shipped table, a task forgets them between two blocks of texts.
+LOCAL = 1 << 16
+#: Words that a task counts before it hands them on; characters of a block of texts (one text, if longer).
+FLUSH, BULK = 1 << 18, 1 << 21
 PROBE = " a  b\tc　ﬁ\n A "
 
 
@@ -80,21 +81,26 @@ def packed(ids: list[int]) -> bytes:
 
 
 class Segments(dict):
-    """Packed ids by marked word: the shipped ones, and others as they come."""
+    """Packed ids by marked word: the shipped ones, and those of the texts at hand."""
 
     def __init__(self, model: bytes, shipped: list[tuple[str, bytes]] = (), local: int = LOCAL):
         self.processor = SentencePieceProcessor(model_proto=model)
         self.shipped, self.limit = shipped, len(shipped) + local
         super().__init__(shipped)
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
+    def learn(self, words: set[str]) -> None:
+        """Segment the words that are not known yet, once each."""
+        if len(self) > self.limit:
             self.clear()
             self.update(self.shipped)
-        found = packed(self.processor.encode(word) if word else [self.processor.piece_to_id(MARK)])
-        if len(word) <= LONGEST:
-            self[word] = found
-        return found
+        new = [w for w in words if w not in self]
+        self.update(zip(new, map(packed, self.processor.encode(new, num_threads=1))))
+        self[""] = packed([self.processor.piece_to_id(MARK)])
+
+    def ids_of(self, texts: list[str | None]) -> list[bytes]:
+        words = [marked_words(t) for t in texts]
+        self.learn(set().union(*words))
+        return [b"".join(map(self.__getitem__, w)) for w in words]
 
 
 class Surfaces(dict):
@@ -105,24 +111,32 @@ class Surfaces(dict):
         pieces = (self.processor.id_to_piece(k) for k in range(self.processor.get_piece_size()))
         self.begins = np.array([p.startswith(MARK) for p in pieces])
 
-    def __missing__(self, run: bytes) -> str:
-        if len(self) >= self.limit:
+    def learn(self, runs: set[bytes]) -> None:
+        """Decode the runs that are not known yet, once each."""
+        if len(self) > self.limit:
             self.clear()
-        ids = np.frombuffer(run, "<u4").tolist()
+        new = [r for r in runs if r not in self]
+        ids = [np.frombuffer(r, "<u4").tolist() for r in new]
         # Alone, a run loses the space of its first mark, as if a text began there.
-        text = " " * bool(self.begins[ids[0]]) + self.processor.decode(ids)
-        if len(ids) <= LONGEST:
-            self[run] = text
-        return text
-
-    def text_of(self, ids: bytes) -> str:
-        """What the library decodes from all ids at once."""
-        marks = np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")]) * 4
-        cuts = [0, *marks[marks > 0].tolist(), len(ids)]
-        text = "".join([self[ids[a:b]] for a, b in zip(cuts, cuts[1:]) if a < b])
-        # The mark at the start of a text stands for no space of it.
-        unseen = len(marks) > 0 and (marks[0] == 0 or not self[ids[:marks[0]]])
-        return text[1:] if unseen else text
+        self.update((r, " " * bool(self.begins[k[0]]) + t) for r, k, t in zip(new, ids, self.processor.decode(ids)))
+
+    def texts_of(self, values: list[bytes | None]) -> list[str | None]:
+        """What the library decodes from all ids of a value at once."""
+        runs, leading = [], []
+        for ids in values:
+            marks = np.flatnonzero(self.begins[np.frombuffer(ids or b"", "<u4")]) * 4
+            cuts = [0, *marks[marks > 0].tolist(), len(ids or b"")]
+            runs.append([ids[a:b] for a, b in zip(cuts, cuts[1:])] if ids else [])
+            # How many runs stand before the first mark; more than there are if it has none.
+            leading.append(len(cuts) if not len(marks) else int(marks[0] > 0))
+        self.learn(set().union(*runs))
+        texts = []
+        for ids, parts, before in zip(values, runs, leading):
+            text = "".join(map(self.__getitem__, parts))
+            # The mark at the start of a text stands for no space of it.
+            unseen = before < len(parts) and not "".join(self[r] for r in parts[:before])
+            texts.append(None if ids is None else text[1:] if unseen else text)
+        return texts
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -134,7 +148,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
                 text_value = value.as_py()
                 seen.update(marked_words(text_value))
                 size += len(text_value or "")
-                if len(seen) > FLUSH or size > 4 * BULK:
+                if len(seen) > FLUSH or size > 16 * BULK:
                     yield table(seen)
                     seen.clear()
                     size = 0
@@ -165,30 +179,31 @@ def frequent_words(counts: DataFrame, limit: int = FREQUENT) -> DataFrame:
 def segment_words(words: DataFrame, model: bytes) -> DataFrame:
     """``word``, ``ids`` (packed) of a frame of distinct marked words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments = Segments(model, local=1)
+        segments = Segments(model, local=0)
         for batch in batches:
-            names = batch.column(0)
+            names = batch.column(0).to_pylist()
+            segments.learn(set(names))
             yield pa.RecordBatch.from_arrays(
-                [names, pa.array([segments[w] for w in names.to_pylist()], pa.binary())], names=["word", "ids"])
+                [batch.column(0), pa.array([segments[w] for w in names], pa.binary())], names=["word", "ids"])
 
     return words.select("word").mapInArrow(run, "word string, ids binary")
 
 
 def _with_column(docs: DataFrame, used: str, name: str, kind: T.DataType, make) -> DataFrame:
-    """The frame with one more column; ``make()`` gives a task its function from a value of ``used``."""
+    """The frame with one more column; ``make()`` gives a task its function from values of ``used`` to the new ones."""
     place, arrow = docs.columns.index(used), {T.StringType: pa.string(), T.BinaryType: pa.binary()}[type(kind)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value_of = make()
+        values_of = make()
         for batch in batches:
             start, size, values = 0, 0, []
             for k, value in enumerate(batch.column(place)):
-                values.append(value_of(value.as_py()))
-                size += len(values[-1] or b"")
+                values.append(value.as_py())
+                size += len(values[-1] or "")
                 if size > BULK or k == batch.num_rows - 1:
                     kept = batch.slice(start, k + 1 - start)
                     yield pa.RecordBatch.from_arrays(
-                        [*kept.columns, pa.array(values, arrow)], names=[*batch.schema.names, name])
+                        [*kept.columns, pa.array(values_of(values), arrow)], names=[*batch.schema.names, name])
                     start, size, values = k + 1, 0, []
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
@@ -201,12 +216,14 @@ def encode(docs: DataFrame, path: str, ids: str = "ids", text: str = "text",
     processor = SentencePieceProcessor(model_proto=model)
     before = packed([processor.bos_id()] * begin)
     after = packed([processor.eos_id()] * end)
-    words = segment_words(frequent_words(count_words(docs, text), limit), model).collect()
+    # Words that occur once are segmented once where they stand.
+    counts = checkpoint(count_words(docs, text).where("n > 1"))
+    words = segment_words(frequent_words(counts, limit), model).collect()
     shipped = docs.sparkSession.sparkContext.broadcast([(r.word, bytes(r.ids)) for r in words])
 
     def make():
         segments = Segments(model, shipped.value)
-        return lambda value: b"".join([before, *map(segments.__getitem__, marked_words(value)), after])
+        return lambda texts: [before + ids + after for ids in segments.ids_of(texts)]
 
     return _with_column(docs, text, ids, T.BinaryType(), make)
 
@@ -215,11 +232,7 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     """The frame with the column ``text``: what packed ids stand for."""
     model = read_model(path)
 
-    def make():
-        surfaces = Surfaces(model)
-        return lambda value: None if value is None else surfaces.text_of(value)
-
-    return _with_column(frame, ids, text, T.StringType(), make)
+    return _with_column(frame, ids, text, T.StringType(), lambda: Surfaces(model).texts_of)
 
 
 def unpacked(ids: bytes | None) -> list[int] | None:

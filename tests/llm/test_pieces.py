@@ -25,18 +25,19 @@ def random_texts(n, seed=1):
 
 def test_marked_words_join_to_the_ids_of_the_whole_text(library):
     segments, surfaces = pieces.Segments(pieces.read_model(MODEL), local=20), pieces.Surfaces(pieces.read_model(MODEL), local=20)
-    for text in random_texts(3000):
-        ids = b"".join(segments[w] for w in pieces.marked_words(text))
-        assert pieces.unpacked(ids) == library.encode(text), text
-        assert surfaces.text_of(ids) == library.decode(library.encode(text)), text
+    texts = random_texts(3000)
+    for k in range(0, len(texts), 100):
+        block = texts[k:k + 100]
+        ids = segments.ids_of(block)
+        assert [pieces.unpacked(i) for i in ids] == [library.encode(t) for t in block]
+        assert surfaces.texts_of(ids) == [library.decode(library.encode(t)) for t in block]
 
 
 def test_any_ids_decode_as_the_library_does(library):
     surfaces, pick = pieces.Surfaces(pieces.read_model(MODEL)), random.Random(2)
     known = [0, 1, 2, 13, 200, 201, 227, 240, 259, 264, 287, 28705, 28708]
-    for _ in range(3000):
-        ids = [pick.choice([*known, pick.randrange(32_000)]) for _ in range(pick.randrange(9))]
-        assert surfaces.text_of(pieces.packed(ids)) == library.decode(ids), ids
+    block = [[pick.choice([*known, pick.randrange(32_000)]) for _ in range(pick.randrange(9))] for _ in range(5000)]
+    assert surfaces.texts_of([pieces.packed(ids) for ids in block]) == [library.decode(ids) for ids in block]
 
 
 @pytest.mark.parametrize("limit", [pieces.FREQUENT, 5, 0])
@@ -71,3 +72,4 @@ def test_only_frequent_words_are_shipped(spark):
     counts = pieces.count_words(docs)
     assert {r.word for r in pieces.frequent_words(counts, 2).collect()} == {"a", "b"}
     assert {r.word for r in pieces.frequent_words(counts, 9).collect()} == {"a", "b", "c"}
+    assert pieces.frequent_words(counts.limit(0)).count() == 0
