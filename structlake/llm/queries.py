@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    decontaminate, langid, licenses, maxent, mixing, pieces, pii, quality, secrets_crf, shards, simhash,
+    decontaminate, hardneg, langid, licenses, maxent, mixing, pieces, pii, quality, secrets_crf, shards, simhash,
 )
 from .common import table
 
@@ -73,6 +73,14 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op12_hard_negatives")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return hardneg.hard_negative_report(table(spark, folder, "embeddings"))
+
+
+ORACLES["op12_hard_negatives"] = hardneg.REPORT_SQL
+
+
 @query("op13_sentencepiece")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     from public_tokenizers import path
