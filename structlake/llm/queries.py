@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    decontaminate, hardneg, langid, licenses, maxent, mixing, pieces, pii, quality, secrets_crf, shards, simhash,
+    decontaminate, hardneg, langid, licenses, maxent, mixing, pieces, pii, quality, secrets_crf, shards, simhash, spelling,
 )
 from .common import table
 
@@ -73,6 +73,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variant_report(table(spark, folder, "documents"))
+
+
 @query("op12_hard_negatives")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return hardneg.hard_negative_report(table(spark, folder, "embeddings"))
