@@ -62,7 +62,8 @@ def tagged_hash(base: Column, gap: Column, signature: Column | None = None,
                 wt_gap: Column | None = None, wt_hash: Column | None = None,
                 delta: Column | None = None) -> Column:
     """Append the collision-resistance tags to a feature hash."""
-    shown = F.coalesce(F.format_string("%.6f", gap), F.lit("nan"))
+    # A null would be shown as text by ``format_string``.
+    shown = F.when(gap.isNull() | F.isnan(gap), "nan").otherwise(F.format_string("%.6f", gap))
     out = F.concat(base, F.lit("|st:"), shown)
     if signature is not None:
         out = F.when(signature.isNotNull(), F.concat(out, F.lit("|wf:"), signature)).otherwise(out)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import constants as C, residues as R, scoring
-from .mutations import exclude_positions
 from ..session import checkpoint
+from .extremes import extreme_rows
+from .mutations import exclude_positions
 from .prefix import running
 from .sites import (
     cofactor_sites, nearest_residues, numeric_resi, site_residue_pairs,
@@ -114,11 +115,13 @@ def site_substitutions(sites: DataFrame, per_site: int = C.SITE_SUBSTITUTIONS
 
 
 def best_per_token(candidates: DataFrame) -> DataFrame:
-    """Keep the best-scored occurrence of a token."""
-    rest = [c for c in candidates.columns if c not in ("structure_id", "token", "score")]
-    best = candidates.groupBy("structure_id", "token").agg(
-        F.max(F.struct("score", *rest)).alias("b"))
-    return best.select("structure_id", "token", "b.score", *(f"b.{c}" for c in rest))
+    """Keep the best-scored occurrence of a token; of equal scores the one with the largest other numbers.
+
+    A token states chain, position and residues, so rows that tie in all numbers are equal.
+    """
+    candidates = checkpoint(candidates)
+    numbers = [c for c, kind in candidates.dtypes if kind in ("double", "bigint", "int") and c not in ("structure_id", "score")]
+    return extreme_rows(candidates, ["structure_id", "token"], ["score", *numbers]).distinct()
 
 
 def rank_candidates(candidates: DataFrame, cap: int | None = None) -> DataFrame:

@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C, rules
+from ..session import checkpoint
+from .extremes import extreme_rows
 
 
 def latest_per_key(log: DataFrame, key: str | list[str], seq: str = "seq",
                    values: list[str] | None = None) -> DataFrame:
-    """Row with the highest sequence number of each key.
-
-    ``max`` over a struct combines before the shuffle: a key that holds a
-    large share of the log ships one row per map task.
-    """
+    """Row with the highest sequence number of each key."""
     keys = [key] if isinstance(key, str) else list(key)
     rest = values or [c for c in log.columns if c not in (*keys, seq)]
-    best = log.groupBy(*keys).agg(F.max(F.struct(seq, *rest)).alias("_b"))
-    return best.select(*keys, *(F.col(f"_b.{c}").alias(c) for c in (seq, *rest)))
+    return extreme_rows(log.select(*keys, seq, *rest), keys, seq)
 
 
 def last_rows(log: DataFrame, n: int, seq: str = "seq") -> DataFrame:
@@ -69,57 +66,76 @@ def wild_type_rows(requests: DataFrame, profiles: DataFrame,
     """
     name = F.upper("profile_id")
     base = F.regexp_extract(name, r"^(.*?)_WT", 1)
+    exact = name.isin(F.concat(base, F.lit("_WT")), F.concat(base, F.lit("_WT_MUTATION")))
     keyed = profiles.where(name.contains("_WT")).select(
-        base.alias("_base"),
-        (name == F.concat(base, F.lit("_WT"))).cast("int").bitwiseOR(
-            (name == F.concat(base, F.lit("_WT_MUTATION"))).cast("int")).alias("exact"),
-        seq, *(c for c in profiles.columns if c != seq))
+        base.alias("_base"), exact.cast("int").alias("_exact"), *profiles.columns)
+    best = extreme_rows(keyed, "_base", ["_exact", seq])
     rest = [c for c in profiles.columns if c != seq]
-    best = keyed.groupBy("_base").agg(F.max(F.struct("exact", seq, *rest)).alias("_b"))
     wanted = requests.withColumn("_base", F.upper("pdb_id"))
-    return wanted.join(best, "_base", "left").select(
-        *requests.columns, *(F.col(f"_b.{c}").alias(f"wt_{c}") for c in (seq, *rest)))
+    named = best.select("_base", *(F.col(c).alias(f"wt_{c}") for c in (seq, *rest)))
+    return wanted.join(named, "_base", "left").select(*requests.columns, *(f"wt_{c}" for c in (seq, *rest)))
+
+
+def _level(rest: DataFrame, log: DataFrame, asked: list[Column], held: list[Column], seq: str,
+           value: list[str], source: str) -> DataFrame:
+    """What no level has found yet, joined with the last log row of its key; a null key finds nothing.
+
+    Only the keys still asked for are kept of the log before it is folded.
+    """
+    ask, have = [f"_a{n}" for n in range(len(asked))], [f"_h{n}" for n in range(len(held))]
+    on = F.lit(True)
+    for a, h in zip(ask, have):
+        on = on & (F.col(a) == F.col(h))
+    wanted = rest.withColumns(dict(zip(ask, asked)))
+    rows = log.select(*(c.alias(h) for c, h in zip(held, have)), F.col(seq).alias("_f_seq"),
+                      *(F.col(v).alias(f"_f_{v}") for v in value))
+    rows = rows.join(wanted.select(*ask).dropna().distinct(), on, "left_semi")
+    last = extreme_rows(rows, have, "_f_seq").withColumn("_source", F.lit(source))
+    return checkpoint(wanted.join(last, on, "left").drop(*ask, *have))
 
 
 def lookup_cascade(requests: DataFrame, log: DataFrame, value: list[str],
                    seq: str = "seq") -> DataFrame:
     """Result row of each request: run key, profile id, mutation list, last row.
 
-    Each level is reduced to its latest row per key before it is joined, so a
-    request meets at most one row per level.
+    A level meets only the requests that the levels before have left.  A null
+    mutation list is an empty one on both sides; a request that names a
+    cofactor finds rows of that cofactor, case ignored, and one that names none
+    goes by the list alone.
     """
-    def level(keys, tag):
-        best = log.dropna(subset=keys).groupBy(*keys).agg(
-            F.max(F.struct(seq, *value)).alias(tag))
-        return best
-
-    out = requests
-    for keys, tag in ((["run_key"], "_run"), (["profile_id"], "_profile"),
-                      (["mutation_list", "cofactor"], "_list")):
-        out = out.join(level(keys, tag), keys, "left")
+    listed = [F.coalesce(F.col("mutation_list"), F.lit(""))]
+    named = F.nullif(F.upper(F.col("cofactor")), F.lit(""))
+    nameless = F.when(named.isNull(), listed[0])
+    levels = (("run_key", [F.col("run_key")], [F.col("run_key")]),
+              ("profile_id", [F.col("profile_id")], [F.col("profile_id")]),
+              ("mutation_list", [*listed, named], [*listed, F.upper(F.col("cofactor"))]),
+              ("mutation_list", [nameless], listed))
+    rest, found = requests, []
+    hits = ["_source", "_f_seq", *(f"_f_{v}" for v in value)]
+    for source, asked, held in levels:
+        met = _level(rest, log, asked, held, seq, value, source)
+        found.append(met.where(F.col("_source").isNotNull()))
+        rest = met.where(F.col("_source").isNull()).drop(*hits)
     last = log.agg(F.max(F.struct(seq, *value)).alias("last")).scalar()
-    found = F.coalesce("_run", "_profile", "_list", last)
-    source = (F.when(F.col("_run").isNotNull(), "run_key")
-              .when(F.col("_profile").isNotNull(), "profile_id")
-              .when(F.col("_list").isNotNull(), "mutation_list").otherwise("last_row"))
-    return out.select(*requests.columns, source.alias("source"), found.alias("_f")).select(
-        *requests.columns, "source", *(F.col(f"_f.{c}").alias(c) for c in (seq, *value)))
+    rest = rest.withColumn("_last", last)
+    found.append(rest.select(*requests.columns, F.lit("last_row").alias("_source"), F.col(f"_last.{seq}").alias("_f_seq"),
+                             *(F.col(f"_last.{v}").alias(f"_f_{v}") for v in value)))
+    out = found[0].select(*requests.columns, *hits)
+    for more in found[1:]:
+        out = out.unionByName(more.select(*requests.columns, *hits))
+    return out.select(*requests.columns, F.col("_source").alias("source"), F.col("_f_seq").alias(seq),
+                      *(F.col(f"_f_{v}").alias(v) for v in value))
 
 
 def entries_in_both(bulk: DataFrame, profiles: DataFrame, key: str = "pdb_id",
                     seq: str = "seq") -> DataFrame:
     """First row per id in each table, for ids that both tables hold."""
-    def first(frame, tag):
+    def first(frame, prefix):
         rest = [c for c in frame.columns if c not in (key, seq)]
-        return frame.groupBy(F.upper(key).alias("id_upper")).agg(
-            F.min(F.struct(seq, *rest)).alias(tag))
-
-    joined = first(bulk, "_l").join(first(profiles, "_r"), "id_upper")
-    def unpack(frame, tag, prefix):
-        return [F.col(f"{tag}.{c}").alias(f"{prefix}{c}")
-                for c in (seq, *(c for c in frame.columns if c not in (key, seq)))]
-    return joined.select("id_upper", *unpack(bulk, "_l", "bulk_"),
-                         *unpack(profiles, "_r", "profile_"))
+        named = frame.select(F.upper(key).alias("id_upper"), *(F.col(c).alias(f"{prefix}{c}") for c in (seq, *rest)))
+        return extreme_rows(named, "id_upper", f"{prefix}{seq}", largest=False)
+
+    return first(bulk, "bulk_").join(first(profiles, "profile_"), "id_upper")
 
 
 def feature_diff(wild: DataFrame, mutant: DataFrame, key: str, fields: list[str],

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import constants as C, hashing, mutation_exprs as M, scoring
 from ..session import checkpoint
+from .extremes import extreme_rows
 
 
 def _ordering() -> list[Column]:
@@ -93,9 +94,9 @@ def beam_levels(singles: DataFrame, max_size: int = C.MAX_COMBO_SIZE,
     """Beam per combination size; size one is the best of the singles.
 
     Every level is read by the next one and by the caller.  It is a handful of
-    rows per structure at the end of a long plan, so each is checkpointed.
+    rows per structure at the end of a long plan, so each is checkpointed; the
+    singles are read by all levels, so they should be cut from their plan too.
     """
-    singles = checkpoint(singles)
     levels = {1: top_per_group(singles, ["structure_id"], beam_width).drop("rank")}
     for size in range(2, max_size + 1):
         grown = expand_beam(levels[size - 1], singles, **options)
@@ -151,10 +152,8 @@ def first_result_per_key(results: DataFrame, key: str = "run_key",
                          order: str = "seq", value: list[str] = ()) -> DataFrame:
     """Repeat the first result of a key on all its rows, as a cache would."""
     value = list(value)
-    first = results.groupBy(key).agg(
-        F.min(F.struct(order, *value)).alias("_f"))
-    return results.drop(*value).join(
-        first.select(key, *(F.col(f"_f.{v}").alias(v) for v in value)), key)
+    first = extreme_rows(results.select(key, order, *value), key, order, largest=False)
+    return results.drop(*value).join(first.drop(order), key)
 
 
 def is_flat_response(results: DataFrame, keys: list[str]) -> DataFrame:

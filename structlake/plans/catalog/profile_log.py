@@ -204,6 +204,38 @@ def _(t):
     return profiles.lookup_cascade(requests, runs, ["em"]).select("pdb_id", "source", "seq", *rounded("em"))
 
 
+# Requests without a run key; lists of both cases of cofactor, null lists, and no cofactor at all.
+view("loose_sql", """
+SELECT pdb_id, NULL::VARCHAR AS run_key, CASE WHEN pdb_id % 9 = 0 THEN 'p' || CAST(uniprot_id AS VARCHAR) END AS profile_id, CASE WHEN pdb_id % 4 = 0 THEN 'm' || CAST(pdb_id % 300 AS VARCHAR) END AS mutation_list,
+  CASE WHEN pdb_id % 3 = 0 THEN lower(cofactor) WHEN pdb_id % 3 = 1 THEN cofactor WHEN pdb_id % 2 = 0 THEN '' END AS cofactor FROM eval_fx""")
+view("looseruns_sql", """
+SELECT seq, run_key, CASE WHEN seq % 6 = 0 THEN profile_id END AS profile_id, CASE WHEN seq % 10 <> 0 THEN mutation_list END AS mutation_list,
+  CASE WHEN seq % 14 = 0 THEN NULL WHEN seq % 8 = 0 THEN lower(cofactor) ELSE cofactor END AS cofactor, em FROM runs_sql""")
+
+
+@query("j13_lookup_cascade_loose", """
+WITH p AS (SELECT profile_id, max(struct_pack(s := seq, em := em)) AS b FROM looseruns_sql WHERE profile_id IS NOT NULL GROUP BY 1),
+ m AS (SELECT coalesce(mutation_list, '') AS l, upper(cofactor) AS c, max(struct_pack(s := seq, em := em)) AS b FROM looseruns_sql WHERE cofactor IS NOT NULL GROUP BY ALL),
+ n AS (SELECT coalesce(mutation_list, '') AS l, max(struct_pack(s := seq, em := em)) AS b FROM looseruns_sql GROUP BY 1), l AS (SELECT max(struct_pack(s := seq, em := em)) AS b FROM looseruns_sql)
+SELECT q.pdb_id, CASE WHEN p.b IS NOT NULL THEN 'profile_id' WHEN coalesce(m.b, n.b) IS NOT NULL THEN 'mutation_list' ELSE 'last_row' END AS source,
+  coalesce(p.b, m.b, n.b, l.b).s AS seq, round(coalesce(p.b, m.b, n.b, l.b).em, 6) AS em
+FROM loose_sql q LEFT JOIN p ON p.profile_id = q.profile_id LEFT JOIN m ON m.l = coalesce(q.mutation_list, '') AND m.c = nullif(upper(q.cofactor), '')
+LEFT JOIN n ON n.l = coalesce(q.mutation_list, '') AND coalesce(q.cofactor, '') = '', l""")
+def _(t):
+    key, none = F.col("pdb_id"), F.lit(None).cast("string")
+    def text(prefix, value):
+        return F.concat(F.lit(prefix), value.cast("string"))
+    requests = t.evals.select(
+        "pdb_id", none.alias("run_key"), F.when(key % 9 == 0, text("p", F.col("uniprot_id"))).alias("profile_id"),
+        F.when(key % 4 == 0, text("m", key % 300)).alias("mutation_list"),
+        F.when(key % 3 == 0, F.lower("cofactor")).when(key % 3 == 1, F.col("cofactor")).when(key % 2 == 0, "").alias("cofactor"))
+    runs = t.evals.where(key % 2 == 0).select(
+        key.alias("seq"), text("r", key).alias("run_key"), F.when(key % 6 == 0, text("p", F.col("uniprot_id"))).alias("profile_id"),
+        F.when(key % 10 != 0, text("m", key % 500)).alias("mutation_list"),
+        F.when(key % 14 == 0, none).when(key % 8 == 0, F.lower("cofactor")).otherwise(F.col("cofactor")).alias("cofactor"), "em")
+    return profiles.lookup_cascade(requests, runs, ["em"]).select("pdb_id", "source", "seq", *rounded("em"))
+
+
 @query("j14_entries_in_both", """
 SELECT upper(b.profile_id) AS id_upper, b.seq AS bulk_seq, b.value AS bulk_value, p.seq AS profile_seq, p.value AS profile_value
 FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY seq) AS rn FROM log_fx WHERE label = 'click') WHERE rn = 1) b

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions import constants as C, hashing, residues as R, rules, scoring
-from ...operators import candidates, recommend, spatial
+from ...operators import candidates, evaluated, recommend, sites, spatial
+from ...session import checkpoint
 from ..registry import query, view
 from .mutation_sets import exclusions
 from .structures import COF, aa1, case_table, listed, rounded
@@ -240,7 +241,7 @@ def show_states(frame):
 
 def top_singles(t):
     scored = recommend.score_singles(pool(t))
-    return recommend.top_per_group(scored, ["structure_id"], C.TOP_N).drop("rank")
+    return checkpoint(recommend.top_per_group(scored, ["structure_id"], C.TOP_N).drop("rank"))
 
 
 @query("w08_beam_level2", f"SELECT {STATE} FROM beam2_sql")
@@ -276,6 +277,108 @@ def _(t):
         "clash_risk", "stability_risk", "confidence", "run_key", "heuristic")
 
 
+# --- evaluated recommendations ------------------------------------------------
+# An answer is a function of the run key's hex digits.  Structures divisible by five get none, the next ones equal
+# answers, the others values of three kinds; keys that start with 0 are never answered, a second digit 1 is a unit error.
+def digit(n):
+    return f"ascii(substring(run_key, {n}, 1))"
+
+
+BRIGHT = f"CAST(60 + ({digit(1)} * 3 + {digit(2)}) % 41 AS DOUBLE)"
+GAP = f"CAST(({digit(1)} + {digit(2)}) % 31 AS DOUBLE) / 100"
+ANSWER = f"""
+SELECT structure_id, run_key, CAST(1 AS BIGINT) AS seq,
+  CASE WHEN structure_id % 5 = 1 THEN CAST(100 AS DOUBLE) WHEN substring(run_key, 2, 1) = '1' THEN CAST(-5 AS DOUBLE) WHEN {digit(3)} % 3 = 0 THEN {BRIGHT} END AS pred_brightness,
+  CAST(NULL AS DOUBLE) AS brightness_pred, CASE WHEN structure_id % 5 <> 1 AND {digit(3)} % 3 = 1 THEN {GAP} END AS st_gap,
+  -{BRIGHT} AS pred_final, CASE WHEN structure_id % 5 = 1 OR {digit(4)} % 2 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(100 AS DOUBLE) END AS clash_penalty,
+  CASE WHEN structure_id % 5 = 1 THEN CAST(0 AS DOUBLE) ELSE CAST({digit(5)} % 3 AS DOUBLE) END AS triad_score,
+  CASE WHEN {digit(6)} % 4 > 0 THEN CAST(40 + {digit(6)} % 20 AS DOUBLE) END AS scs,
+  CASE WHEN structure_id % 5 = 1 THEN 'same' ELSE substring(run_key, 1, 8) END AS feature_hash, CAST(NULL AS VARCHAR(8)) AS wavefunction_signature
+FROM {{asked}} WHERE structure_id % 5 <> 0 AND substring(run_key, 1, 1) <> '0'"""
+WILD = """
+SELECT structure_id, run_key, CAST(1 AS BIGINT) AS seq, CASE WHEN structure_id % 5 = 1 THEN CAST(100 AS DOUBLE) ELSE CAST(70 + structure_id % 20 AS DOUBLE) END AS pred_brightness,
+  CAST(NULL AS DOUBLE) AS brightness_pred, CAST(NULL AS DOUBLE) AS st_gap, CAST(NULL AS DOUBLE) AS pred_final, CAST(0 AS DOUBLE) AS clash_penalty, CAST(0 AS DOUBLE) AS triad_score,
+  CAST(NULL AS DOUBLE) AS scs, 'wild' AS feature_hash, CAST(NULL AS VARCHAR(8)) AS wavefunction_signature FROM {asked} WHERE structure_id % 5 <> 0 AND structure_id % 7 <> 3"""
+
+
+def evaluated_sql(asked):
+    """States of a view with the scores of their answers."""
+    value = f"coalesce(pred_brightness, CASE WHEN st_gap <= 5 THEN greatest(0.0, st_gap / 0.35 * 150) END, abs(pred_final))"
+    return f"""
+SELECT structure_id, muts, run_key, bright - wt AS delta, 0.0::DOUBLE AS syn, clash_penalty AS clash, triad_score AS stab, bright, coalesce(scs, 50.0) AS conf, hash,
+       (bright - wt) - 0.5 * clash_penalty - 0.7 * triad_score + 0.3 * coalesce(scs, 50.0) AS total
+FROM (SELECT s.structure_id, s.muts, s.run_key, a.* EXCLUDE (structure_id, run_key), {value} AS bright, a.feature_hash || '|st:' || coalesce(printf('%.6f', st_gap), 'nan') AS hash,
+        CASE WHEN s.structure_id % 7 = 3 THEN 0.0 WHEN s.structure_id % 5 = 1 THEN 100.0 ELSE 70.0 + s.structure_id % 20 END::DOUBLE AS wt
+      FROM {asked} s JOIN ({ANSWER.format(asked=asked)}) a ON a.run_key = s.run_key)
+WHERE NOT (pred_brightness IS NOT NULL AND pred_brightness < 0)"""
+
+
+view("done1_all_sql", evaluated_sql("single_all_sql"))
+view("done1_sql", top_sql("done1_all_sql", 5))
+view("asked2_sql", level_sql("done1_sql").replace("single5_sql", "done1_sql"))
+view("askedbeam2_sql", top_sql("asked2_sql", 6))
+view("asked3_sql", level_sql("askedbeam2_sql").replace("single5_sql", "done1_sql"))
+view("askedbeam3_sql", top_sql("asked3_sql", 6))
+view("done2_sql", evaluated_sql("askedbeam2_sql"))
+view("done3_sql", evaluated_sql("askedbeam3_sql"))
+view("done_sql", """
+SELECT *, 1 AS size FROM done1_sql UNION ALL SELECT *, 2 FROM done2_sql UNION ALL SELECT *, 3 FROM done3_sql""")
+view("reason_sql", """
+SELECT structure_id, 'computed-flat-response' AS reason FROM done_sql GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT round_even(bright, 6)) <= 1
+ AND count(DISTINCT hash) <= 1 AND bool_and(abs(delta) < 1e-9)
+UNION ALL SELECT DISTINCT structure_id, 'no-computed-singles' FROM pool_sql WHERE structure_id NOT IN (SELECT structure_id FROM done1_sql)""")
+
+
+def answers(t, asked):
+    """What the evaluator of these queries says to a request table."""
+    return t._view(ANSWER.format(asked="asked"), asked=asked)
+
+
+def evaluation_rounds(t):
+    """The pool, and the results after singles and then combinations were asked for."""
+    found = checkpoint(pool(t))
+    runs = evaluated.unmutated_runs(found)
+    results = checkpoint(t._view(WILD.format(asked="asked"), asked=runs).unionByName(
+        answers(t, recommend.score_singles(found))))
+    _, combinations = evaluated.recommend_evaluated(found, results)
+    return found, results, checkpoint(combinations.where(F.col("size") > 1))
+
+
+@query("w09_computed_recommendations", f"""
+SELECT structure_id, size, CAST(row_number() OVER (PARTITION BY structure_id, size ORDER BY round(total, 9) DESC, run_key) AS INTEGER) AS rank, run_key,
+  round(total, 6) AS total_score, round(bright, 6) AS pred_brightness, round(delta, 6) AS delta_brightness, conf AS confidence, heuristic, hash AS feature_hash, reason FROM (
+  SELECT structure_id, size, run_key, total, bright, delta, conf, false AS heuristic, hash, NULL::VARCHAR AS reason FROM done_sql WHERE structure_id NOT IN (SELECT structure_id FROM reason_sql)
+  UNION ALL SELECT h.structure_id, size, run_key, total, delta, delta, 50.0::DOUBLE, true, NULL, CASE WHEN size = 1 THEN reason END FROM (
+    SELECT structure_id, 1 AS size, run_key, total, delta FROM single5_sql UNION ALL SELECT structure_id, 2, run_key, total, delta FROM beam2_sql
+    UNION ALL SELECT structure_id, 3, run_key, total, delta FROM beam3_sql) h JOIN reason_sql r ON r.structure_id = h.structure_id)
+QUALIFY row_number() OVER (PARTITION BY structure_id, size ORDER BY round(total, 9) DESC, run_key) <= 5""")
+def _(t):
+    found, results, combinations = evaluation_rounds(t)
+    rows, _ = evaluated.recommend_evaluated(found, results.unionByName(answers(t, combinations)))
+    reason = F.nullif(F.regexp_extract("notes", r"\((.*)\)", 1), F.lit(""))
+    return rows.select("structure_id", "size", "rank", "run_key",
+                       *rounded("total_score", "pred_brightness", "delta_brightness"), "confidence", "heuristic", "feature_hash",
+                       F.when(F.col("heuristic"), reason).alias("reason"))
+
+
+@query("w09_open_requests", f"""
+SELECT structure_id, size, run_key FROM (SELECT structure_id, 1 AS size, run_key FROM single_all_sql UNION ALL SELECT structure_id, 2, run_key FROM askedbeam2_sql
+  UNION ALL SELECT structure_id, 3, run_key FROM askedbeam3_sql) WHERE structure_id % 5 = 0 OR substring(run_key, 1, 1) = '0'""")
+def _(t):
+    found, results, combinations = evaluation_rounds(t)
+    _, still_open = evaluated.recommend_evaluated(found, results.unionByName(answers(t, combinations)))
+    return still_open.select("structure_id", "size", "run_key")
+
+
+@query("w09_refusals", f"""
+SELECT s_suppkey AS structure_id, CASE WHEN s_suppkey IN (SELECT structure_id FROM atoms_fx WHERE resn IN {COF} AND chain <> 'R') THEN 'no-candidates' ELSE 'no-flavin-detected' END AS reason
+FROM supplier WHERE s_suppkey NOT IN (SELECT structure_id FROM pool_sql WHERE structure_id % 4 <> 0)""")
+def _(t):
+    kept = pool(t).where(F.col("structure_id") % 4 != 0)
+    known = t.table("supplier").select(F.col("s_suppkey").alias("structure_id"))
+    return evaluated.refusals(known, sites.cofactor_sites(t.atoms.where("chain <> 'R'")), kept)
+
+
 # --- result tables: one recommendation row per order --------------------------
 view("recs_sql", """
 SELECT uniprot_id AS structure_id, CAST(pdb_id % 3 + 1 AS INTEGER) AS size, pdb_id AS seq, CAST(pdb_id AS VARCHAR) AS run_key, pdb_id % 4 = 0 OR uniprot_id % 9 = 0 AS heuristic,
