@@ -27,6 +27,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import sha256
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from .common import fresh
 MARK = "▁"
 FREQUENT, LONGEST = 1 << 17, 64
 #: Beyond so many words beside the shipped table, a task forgets them between two blocks of texts.
-LOCAL = 1 << 16
+LOCAL = 1 << 18
 #: Words that a task counts before it hands them on; characters of a block of texts (one text, if longer).
 FLUSH, BULK = 1 << 18, 1 << 21
 PROBE = " a  b\tc　ﬁ\n A "
@@ -80,6 +82,17 @@ def packed(ids: list[int]) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
+def unpacked(ids: bytes | None) -> list[int] | None:
+    """Packed ids as a list."""
+    return None if ids is None else np.frombuffer(ids, "<u4").tolist()
+
+
+def packed_each(lists: list[list[int]]) -> list[bytes]:
+    ends = list(accumulate(map(len, lists), initial=0))
+    flat = np.fromiter(chain.from_iterable(lists), "<u4", ends[-1]).tobytes()
+    return [flat[4 * a:4 * b] for a, b in pairwise(ends)]
+
+
 class Segments(dict):
     """Packed ids by marked word: the shipped ones, and those of the texts at hand."""
 
@@ -94,7 +107,7 @@ class Segments(dict):
             self.clear()
             self.update(self.shipped)
         new = [w for w in words if w not in self]
-        self.update(zip(new, map(packed, self.processor.encode(new, num_threads=1))))
+        self.update(zip(new, packed_each(self.processor.encode(new, num_threads=1))))
         self[""] = packed([self.processor.piece_to_id(MARK)])
 
     def ids_of(self, texts: list[str | None]) -> list[bytes]:
@@ -106,19 +119,36 @@ class Segments(dict):
 class Surfaces(dict):
     """Text by packed run of ids; a run that begins with a mark keeps its space."""
 
-    def __init__(self, model: bytes, local: int = LOCAL):
-        self.processor, self.limit = SentencePieceProcessor(model_proto=model), local
-        pieces = (self.processor.id_to_piece(k) for k in range(self.processor.get_piece_size()))
+    def __init__(self, model: bytes, shipped: list[tuple[bytes, str]] = (), local: int = LOCAL):
+        self.processor = SentencePieceProcessor(model_proto=model)
+        self.shipped, self.limit = shipped, len(shipped) + local
+        numbers = range(self.processor.get_piece_size())
+        pieces = [self.processor.id_to_piece(k) for k in numbers]
         self.begins = np.array([p.startswith(MARK) for p in pieces])
+        # Bytes of longer characters join, marks of a text vanish: all other pieces stand for themselves.
+        self.letters = [chr(int(p[3:5], 16)) if self.processor.is_byte(k) else p.replace(MARK, " ") for k, p in enumerate(pieces)]
+        apart = (self.processor.is_control, self.processor.is_unknown, self.processor.is_unused)
+        self.plain = np.array([not any(test(k) for test in apart) and not (self.processor.is_byte(k) and self.letters[k] > "\x7f")
+                               for k in numbers])
+        super().__init__(shipped)
 
     def learn(self, runs: set[bytes]) -> None:
         """Decode the runs that are not known yet, once each."""
         if len(self) > self.limit:
             self.clear()
+            self.update(self.shipped)
         new = [r for r in runs if r not in self]
-        ids = [np.frombuffer(r, "<u4").tolist() for r in new]
+        if not new:
+            return
+        ends = list(accumulate((len(r) // 4 for r in new), initial=0))
+        flat = np.frombuffer(b"".join(new), "<u4")
+        plain = np.logical_and.reduceat(self.plain[flat], ends[:-1])
+        letters, known = self.letters, flat.tolist()
+        self.update((r, "".join([letters[k] for k in known[a:b]])) for r, a, b, p in zip(new, ends, ends[1:], plain) if p)
+        rest = [(r, known[a:b]) for r, a, b, p in zip(new, ends, ends[1:], plain) if not p]
         # Alone, a run loses the space of its first mark, as if a text began there.
-        self.update((r, " " * bool(self.begins[k[0]]) + t) for r, k, t in zip(new, ids, self.processor.decode(ids)))
+        self.update((r, " " + t if self.begins[ids[0]] else t)
+                    for (r, ids), t in zip(rest, self.processor.decode([ids for _, ids in rest])))
 
     def texts_of(self, values: list[bytes | None]) -> list[str | None]:
         """What the library decodes from all ids of a value at once."""
@@ -177,16 +207,27 @@ def frequent_words(counts: DataFrame, limit: int = FREQUENT) -> DataFrame:
 
 
 def segment_words(words: DataFrame, model: bytes) -> DataFrame:
-    """``word``, ``ids`` (packed) of a frame of distinct marked words."""
+    """``word``, ``ids`` (packed), ``surface`` (what they stand for) of a frame of distinct marked words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments = Segments(model, local=0)
+        segments, surfaces = Segments(model, local=0), Surfaces(model, local=0)
         for batch in batches:
             names = batch.column(0).to_pylist()
             segments.learn(set(names))
+            ids = [segments[w] for w in names]
+            surfaces.learn(set(ids))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([segments[w] for w in names], pa.binary())], names=["word", "ids"])
+                [batch.column(0), pa.array(ids, pa.binary()), pa.array([surfaces[i] for i in ids], pa.string())],
+                names=["word", "ids", "surface"])
+
+    return words.select("word").mapInArrow(run, "word string, ids binary, surface string")
+
 
-    return words.select("word").mapInArrow(run, "word string, ids binary")
+def frequent_table(docs: DataFrame, model: bytes, text: str = "text", limit: int = FREQUENT) -> list[tuple[str, bytes, str]]:
+    """Word, packed ids and surface of the frequent marked words, at most ``limit``."""
+    # Words that occur once are segmented once where they stand.
+    counts = checkpoint(count_words(docs, text).where("n > 1"))
+    rows = segment_words(frequent_words(counts, limit), model).collect()
+    return [(r.word, bytes(r.ids), r.surface) for r in rows]
 
 
 def _with_column(docs: DataFrame, used: str, name: str, kind: T.DataType, make) -> DataFrame:
@@ -216,10 +257,7 @@ def encode(docs: DataFrame, path: str, ids: str = "ids", text: str = "text",
     processor = SentencePieceProcessor(model_proto=model)
     before = packed([processor.bos_id()] * begin)
     after = packed([processor.eos_id()] * end)
-    # Words that occur once are segmented once where they stand.
-    counts = checkpoint(count_words(docs, text).where("n > 1"))
-    words = segment_words(frequent_words(counts, limit), model).collect()
-    shipped = docs.sparkSession.sparkContext.broadcast([(r.word, bytes(r.ids)) for r in words])
+    shipped = docs.sparkSession.sparkContext.broadcast([(w, i) for w, i, _ in frequent_table(docs, model, text, limit)])
 
     def make():
         segments = Segments(model, shipped.value)
@@ -235,14 +273,24 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     return _with_column(frame, ids, text, T.StringType(), lambda: Surfaces(model).texts_of)
 
 
-def unpacked(ids: bytes | None) -> list[int] | None:
-    """Packed ids as a list."""
-    return None if ids is None else np.frombuffer(ids, "<u4").tolist()
-
-
-def encoding_report(docs: DataFrame, path: str) -> DataFrame:
+def encoding_report(docs: DataFrame, path: str, limit: int = FREQUENT) -> DataFrame:
     """One row per document: number and digest of its ids, digest of the text decoded from them."""
-    ids, text = fresh(docs, "ids"), fresh(docs, "decoded")
-    return decode(encode(docs.select("doc_id", "text"), path, ids), path, ids, text).select(
-        "doc_id", F.expr(f"octet_length({ids}) div 4").cast("bigint").alias("n_tokens"),
-        F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col(text).cast("binary"), 256).alias("decoded_sha256"))
+    model = read_model(path)
+    processor = SentencePieceProcessor(model_proto=model)
+    before, after = packed([processor.bos_id()]), packed([processor.eos_id()])
+    shipped = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, model, limit=limit))
+
+    def make():
+        segments = Segments(model, [(w, i) for w, i, _ in shipped.value])
+        surfaces = Surfaces(model, [(i, t) for _, i, t in shipped.value])
+
+        def digests(texts: list[str | None]) -> list[str]:
+            ids = [before + i + after for i in segments.ids_of(texts)]
+            return [f"{len(i) // 4} {sha256(i).hexdigest()} {sha256(t.encode()).hexdigest()}"
+                    for i, t in zip(ids, surfaces.texts_of(ids))]
+        return digests
+
+    name = fresh(docs, "digests")
+    parts = F.split(name, " ")
+    return _with_column(docs.select("doc_id", "text"), "text", name, T.StringType(), make).select(
+        "doc_id", parts[0].cast("bigint").alias("n_tokens"), parts[1].alias("ids_sha256"), parts[2].alias("decoded_sha256"))

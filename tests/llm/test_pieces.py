@@ -57,9 +57,10 @@ def test_report_has_the_digests_of_whole_texts(spark, odd_docs, odd_rows, librar
         packed = b"".join(i.to_bytes(4, "little") for i in ids)
         return (doc_id, len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
 
-    found = [tuple(r) for r in pieces.encoding_report(odd_docs, MODEL).collect()]
     key = lambda r: repr(r)
-    assert sorted(found, key=key) == sorted((line(r[0], r[1]) for r in odd_rows), key=key)
+    for limit in (pieces.FREQUENT, 3):
+        found = [tuple(r) for r in pieces.encoding_report(odd_docs, MODEL, limit).collect()]
+        assert sorted(found, key=key) == sorted((line(r[0], r[1]) for r in odd_rows), key=key)
 
 
 def test_empty_table_null_ids_and_unfit_names(spark, empty_docs):
