@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F, types as T
 
 from ...functions import constants as C, jsonio, rules
 from ...operators import profiles
-from ...session import checkpoint_folder
-from ...sources import sinks, tables
-from ..registry import query, view
+from ...sources import keyed, sinks, tables
+from ..registry import query, scratch_path, view
 from .structures import rounded
 
 AUDIT = ("em", "st_gap", "n5_spin", "hfcc_primary", "iso", "hb_cap", "flex")
 
 
-def scratch_path(t) -> str:
-    """A fresh folder beside the shared checkpoint folder of the session."""
-    return f"{checkpoint_folder(t.spark)}/scratch-{uuid.uuid4().hex}"
-
-
 # --- tables from files: the measurements are written as CSV and read back -------
 
 
@@ -91,6 +83,27 @@ def _(t):
     return t.spark.read.parquet(path).select("profile_id", "seq", "label", "value")
 
 
+@query("s12_keyed_upsert", """
+SELECT profile_id, max(seq) AS seq, arg_max(label, seq) AS label, arg_max(value, seq) AS value, CASE WHEN max(seq) % 3 = 1 THEN arg_max(value, seq) * 2 END AS gpr_sigma
+FROM log_fx GROUP BY 1""")
+def _(t):
+    path = scratch_path(t)
+    parts = [t.log.where("seq % 3 = 0"), t.log.where("seq % 3 = 1").withColumn("gpr_sigma", F.col("value") * 2), t.log.where("seq % 3 = 2")]
+    # The first part once more at the end changes nothing.
+    for part in (*parts, parts[0]):
+        keyed.upsert(part, path, "profile_id", "seq")
+    return keyed.read_keyed(t.spark, path)
+
+
+@query("u04_keyed_insert_absent", "SELECT profile_id, min(seq) AS seq, arg_min(value, seq) AS value FROM log_fx GROUP BY 1")
+def _(t):
+    path = scratch_path(t)
+    rows = t.log.select("profile_id", "seq", "value")
+    for part in (rows.where("seq % 2 = 1"), rows.where("seq % 2 = 0"), rows.where("seq % 4 = 1")):
+        keyed.upsert(part, path, "profile_id", "seq", replace=False)
+    return keyed.read_keyed(t.spark, path)
+
+
 @query("s14_finite_json", """
 SELECT pdb_id, '{"eigenvalues":[' || CASE WHEN pdb_id % 3 = 0 THEN 'null' ELSE CAST(CAST(hb_cap AS BIGINT) AS VARCHAR) || '.0' END || ',' ||
   CASE WHEN pdb_id % 4 = 0 THEN 'null' ELSE CAST(CAST(hb_cap + 100 AS BIGINT) AS VARCHAR) || '.0' END || ']}' AS payload FROM eval_fx""")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ...functions import constants as C, residues as R
 from ...operators import environment, sites, spatial
-from ...sources import structure_text as text
-from ..registry import query, view
+from ...sources import structure_files, structure_text as text
+from ..registry import query, scratch_path, view
 
 
 def rounded(*names, digits=6):
@@ -67,6 +67,46 @@ def _(t):
     return text.scan_records(t.lines)
 
 
+# --- whole files: the lines are written as files and read back; of a third of the structures only the cached copy is there,
+# which holds no heteroatoms -------------------------------------------------------------------------------------------
+view("filelines_sql", """
+SELECT CAST(structure_id AS VARCHAR) AS structure_id, row_number() OVER (PARTITION BY structure_id ORDER BY line_no) AS line_no, value
+FROM lines_fx WHERE structure_id % 3 <> 0 OR value NOT LIKE 'HETATM%'""")
+
+
+def file_lines(t):
+    path = scratch_path(t)
+    structure_files.write_structure_files(t.lines.where("structure_id % 3 <> 0"), f"{path}/main")
+    structure_files.write_structure_files(t.lines.where("value NOT LIKE 'HETATM%'"), f"{path}/cache")
+    return structure_files.read_structure_lines(
+        t.spark, path, "*.txt", ("/main/", "/cache/"), structure_files.WRITTEN)
+
+
+@query("s01_file_lines", "SELECT * FROM filelines_sql")
+def _(t):
+    return file_lines(t)
+
+
+@query("s01_file_atoms", """
+SELECT CAST(p.structure_id AS VARCHAR) AS structure_id, f.line_no, atom_name, resn, chain, resi, icode, x, y, z, b_factor, element FROM parsed_sql p
+JOIN (SELECT structure_id, line_no AS source_no, row_number() OVER (PARTITION BY structure_id ORDER BY line_no) AS line_no
+      FROM lines_fx WHERE structure_id % 3 <> 0 OR value NOT LIKE 'HETATM%') f ON f.structure_id = p.structure_id AND f.source_no = p.line_no""")
+def _(t):
+    return text.scan_atoms(file_lines(t))
+
+
+@query("s06_chosen_files", """
+SELECT CAST(s_suppkey AS VARCHAR) AS structure_id, CASE WHEN s_suppkey % 3 <> 0 THEN 'main' ELSE 'cache' END AS folder FROM supplier""")
+def _(t):
+    path = scratch_path(t)
+    names = t.table("supplier").select(F.col("s_suppkey").alias("structure_id"), F.lit(1).alias("line_no"), F.lit("END").alias("value"))
+    structure_files.write_structure_files(names.where("structure_id % 3 <> 0"), f"{path}/main")
+    structure_files.write_structure_files(names, f"{path}/cache")
+    files = structure_files.list_files(t.spark, path, "*.txt", structure_files.WRITTEN)
+    return structure_files.choose_files(files, ("/main/", "/cache/")).select(
+        "structure_id", F.regexp_extract("path", "/(main|cache)/", 1).alias("folder"))
+
+
 view("residue_index_sql", """
 SELECT structure_id, chain, resi, icode, min_by(resn, line_no) AS resn, count(*) AS atom_count
 FROM records_sql GROUP BY ALL""")
@@ -94,6 +134,31 @@ def _(t):
     return text.accessions(t.lines)
 
 
+# Marked and unmarked accessions of both lengths, sequence differences, lower case, and records that name none.
+KINDS = (
+    "DBREF  1ABC A    1   600  UNP    P00533   EGFR_HUMAN", "SEQADV 1ABC GLY A    0  UNP  Q9Y6K9              EXPRESSION TAG",
+    "DBREF1 1ABC A    1   600  UNIPROT  A0A024R1R8   LONG_NAME", "DBREF  1ABC A    1   600  UNP    NOTHING  P12345 LATER",
+    "dbref  1abc a    1   600  unp    p00533", "SEQADV 1ABC unp q8n158 lower", "REMARK UNP P00533", "DBREF  1ABC A 1 600  PDB    P00533",
+    "DBREF  1ABC A    1   600  UNP    NONE")
+FOUND = ("P00533", "Q9Y6K9", "A0A024R1R8", "P12345", None, "Q8N158", None, None, None)
+
+
+def kind_of(values, shift):
+    arms = " ".join(f"WHEN {k} THEN " + ("NULL" if v is None else f"'{v}'") for k, v in enumerate(values))
+    return f"CASE (s_suppkey + {shift}) % {len(values)} {arms} END"
+
+
+@query("s05_accession_kinds", f"""
+SELECT s_suppkey AS structure_id, coalesce({kind_of(FOUND, 0)}, {kind_of(FOUND, 4)}) AS accession
+FROM supplier WHERE coalesce({kind_of(FOUND, 0)}, {kind_of(FOUND, 4)}) IS NOT NULL""")
+def _(t):
+    supplier = t.table("supplier")
+    lines = supplier.select(F.col("s_suppkey").alias("structure_id"), F.explode(F.array(
+        F.struct(F.lit(1).alias("line_no"), F.expr(kind_of(KINDS, 0)).alias("value")),
+        F.struct(F.lit(2).alias("line_no"), F.expr(kind_of(KINDS, 4)).alias("value")))).alias("l"))
+    return text.accessions(lines.select("structure_id", "l.*"))
+
+
 @query("s06_locate_structure", """
 WITH cat AS (SELECT s_suppkey AS structure_id, concat('dir', CAST(s_nationkey % 3 AS VARCHAR), '/', s_name) AS location,
                     CAST(s_nationkey % 3 AS INTEGER) AS priority FROM supplier

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import checkpoint_folder
 from .fixtures import FIXTURES, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -14,6 +16,11 @@ ORACLES: dict[str, str] = {}
 _VIEWS: dict[str, str] = dict(FIXTURES)
 
 
+def scratch_path(t: Tables) -> str:
+    """A fresh folder beside the shared checkpoint folder of the session."""
+    return f"{checkpoint_folder(t.spark)}/scratch-{uuid.uuid4().hex}"
+
+
 def view(name: str, sql: str) -> None:
     """Name a SQL text that oracles may refer to as a table."""
     _VIEWS[name] = sql.strip()

@@ -7,51 +7,10 @@ runs inside the scan stage; malformed rows are dropped row by row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C
-
-_ROW_BITS = 33
-
-
-def read_structure_lines(spark: SparkSession, path: str, glob: str = "*.{pdb,ent}",
-                         preferred: tuple[str, ...] = ()) -> DataFrame:
-    """Read a folder of structure files line by line, one file per structure.
-
-    Of files with one stem only one is read: that whose path holds the earliest
-    of the ``preferred`` parts, then the first path.  The line number joins the
-    offset of the file split with the row offset in the task, so it grows along
-    a file even where the file is split; it is good for one reading, not a key
-    to store.
-    """
-    def reader(kind: str):
-        return spark.read.format(kind).option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-
-    # Only names are read here: the content column is pruned.
-    files = reader("binaryFile").load(path).select("_metadata.file_path")
-    rank = F.lit(len(preferred))
-    for k, part in reversed(list(enumerate(preferred))):
-        rank = F.when(F.col("file_path").contains(part), k).otherwise(rank)
-    chosen = files.groupBy(_stem().alias("stem")).agg(
-        F.min(F.struct(rank.alias("rank"), "file_path")).alias("best")).select(
-        F.col("best.file_path").alias("file_path"))
-    text = reader("text").load(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    return number_lines(text.join(chosen, "file_path", "left_semi"))
-
-
-def _stem() -> Column:
-    return F.regexp_extract("file_path", r"([^/]+)\.[^./]+$", 1)
-
-
-def number_lines(text: DataFrame) -> DataFrame:
-    """Line table from ``(value, file_path, file_block_start)`` rows."""
-    row = F.monotonically_increasing_id().bitwiseAND(
-        F.lit((1 << _ROW_BITS) - 1))
-    return text.select(
-        _stem().alias("structure_id"),
-        F.shiftleft("file_block_start", _ROW_BITS).bitwiseOR(row).alias("line_no"),
-        "value",
-    )
+from .structure_files import read_structure_lines  # noqa: F401  the usual source of a line table
 
 
 def is_coordinate_record(value: Column) -> Column:
