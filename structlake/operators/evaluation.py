@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import constants as C, rules
+from ..functions import constants as C, tails, rules
 from .blending import one_row
 from .prefix import running
 from .quantiles import exact_quantiles
@@ -88,21 +87,14 @@ def correlations(rows: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> Da
     return wide.withColumn("t", F.when(F.col("n") > 2, t))
 
 
-def two_sided_p(t: float, n: int) -> float:
-    """Two-sided p-value of a t statistic, for one result row.
+def correlation_p(correlated: DataFrame) -> DataFrame:
+    """Add ``p``, the two-sided p-value of the rows of :func:`correlations`.
 
-    Integrates the density by Simpson's rule in the angle whose tangent is
-    t/√ν, where the density is a power of the cosine.
+    Two values always correlate, so their p is one; a perfect correlation of more has zero.
     """
-    degrees = n - 2
-    edge = math.atan(abs(t) / math.sqrt(degrees))
-    steps = 2000
-    width = (math.pi / 2 - edge) / steps
-    weights = [1 if i in (0, steps) else 4 if i % 2 else 2 for i in range(steps + 1)]
-    area = sum(w * math.cos(edge + i * width) ** (degrees - 1)
-               for i, w in enumerate(weights)) * width / 3
-    scale = math.exp(math.lgamma((degrees + 1) / 2) - math.lgamma(degrees / 2)) / math.sqrt(math.pi)
-    return min(1.0, 2 * scale * area)
+    r, n = F.col("r"), F.col("n")
+    tail = tails.student_two_sided(F.col("t"), n - 2)
+    return correlated.withColumn("p", F.when(r.isNotNull() & (n == 2), 1.0).when(F.abs(r) >= 1, 0.0).otherwise(tail))
 
 
 def magnetic_candidates(rows: DataFrame, gap: str, spin: str, spin2: str) -> DataFrame:

@@ -315,6 +315,10 @@ def corr_sql(name, a, b):
  SELECT count(*) AS n, corr({a}, {b}) AS r FROM ev_sql WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
 
 
+def full_corr_sql(name, a, b):
+    return f"SELECT '{name}' AS pair, count(*) AS n, corr({a}, {b}) AS r FROM ev_sql WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+
+
 @query("a19_correlations", " UNION ALL ".join((
     corr_sql("gap_em", "st_gap", "em"), corr_sql("polar_em", "polarizability", "em"), corr_sql("spin_em", "n5_spin", "em"),
     corr_sql("resid_gap", "em - gpr_pred_raw", "st_gap"), corr_sql("delta_resid", "pred_q - gpr_pred_raw", "em - gpr_pred_raw"),
@@ -328,6 +332,27 @@ def _(t):
     }).select("pair", "n", F.round("r", 9).alias("r"), *rounded("t"))
 
 
+# The tail is integrated by Simpson's rule over the angle whose tangent is t over the root of the degrees of freedom.
+TAIL = """SELECT pair, n, t, v, CASE WHEN n = 2 THEN 1.0 ELSE least(1.0, 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(pi()) * w / 3 * (
+  SELECT sum(CASE WHEN i IN (0, 6000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos(edge + i * w), v - 1)) FROM range(6001) s(i))) END AS p
+FROM (SELECT *, (least(pi() / 2, edge + 14 / sqrt(v)) - edge) / 6000 AS w FROM (SELECT *, atan(abs(t) / sqrt(v)) AS edge FROM (SELECT *, (n - 2)::DOUBLE AS v FROM {rows})))"""
+view("fullcorr_sql", " UNION ALL ".join((
+    full_corr_sql("gap_em", "st_gap", "em"), full_corr_sql("polar_em", "polarizability", "em"), full_corr_sql("spin_em", "n5_spin", "em"),
+    full_corr_sql("spin_few", "n5_spin", "CASE WHEN pdb_id <= 160 THEN em END"), full_corr_sql("gap_few", "st_gap", "CASE WHEN pdb_id <= 40 THEN em END"))))
+
+
+@query("a19_correlation_p", f"""
+SELECT pair, n, round(p, 9) AS p FROM ({TAIL.format(rows="(SELECT pair, n, r * sqrt((n - 2) / (1 - r * r)) AS t FROM fullcorr_sql)")})
+UNION ALL SELECT 'constant_em', (SELECT count(*) FROM ev_sql), NULL""")
+def _(t):
+    em = F.col("em")
+    rows = evaluation.correlations(evals(t), {
+        "gap_em": (F.col("st_gap"), em), "polar_em": (F.col("polarizability"), em), "spin_em": (F.col("n5_spin"), em),
+        "spin_few": (F.col("n5_spin"), F.when(F.col("pdb_id") <= 160, em)),
+        "gap_few": (F.col("st_gap"), F.when(F.col("pdb_id") <= 40, em)), "constant_em": (F.lit(1.0), em)})
+    return evaluation.correlation_p(rows).select("pair", "n", F.round("p", 9).alias("p"))
+
+
 CANDIDATE = """SELECT e.*, st_gap <= g AND n5_spin >= s AND polarizability >= p AS candidate FROM ev_sql e,
  (SELECT quantile_cont(st_gap, 0.1) AS g, quantile_cont(n5_spin, 0.9) AS s, quantile_cont(polarizability, 0.9) AS p FROM ev_sql)"""
 

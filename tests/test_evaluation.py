@@ -93,10 +93,15 @@ def test_metrics_and_histogram(spark):
     assert [(b.bin, b.n) for b in flat] == [(1, 3)]
 
 
-def test_p_value():
-    # Two-sided p of t = 2.228 with ten degrees of freedom is 0.05.
-    assert evaluation.two_sided_p(2.228139, 12) == pytest.approx(0.05, abs=1e-5)
-    assert evaluation.two_sided_p(0.0, 30) == pytest.approx(1.0, abs=1e-6)
+def test_p_value(spark):
+    # Known quantiles of Student's t, the Cauchy case, and many degrees of freedom.
+    known = [(2.2281388519649385, 10, 0.05), (0.0, 28, 1.0), (1.0, 1, 0.5), (12.706204736432095, 1, 0.05), (-2.0422724563012373, 30, 0.05),
+             (4.302652729911275, 2, 0.05), (1.9599639845400545, 10**9, 0.05), (40.0, 12, 4.06387e-14), (1e-8, 5, 1.0)]
+    rows = spark.createDataFrame([(t, n + 2, p) for t, n, p in known], "t double, n bigint, p0 double").withColumn("r", F.lit(0.5))
+    for row in evaluation.correlation_p(rows).collect():
+        assert row.p == pytest.approx(row.p0, rel=2e-5 if row.p0 < 1e-9 else 1e-7, abs=1e-15), row
+    odd = spark.createDataFrame([(None, 9, None), (None, 9, -1.0), (None, 2, 1.0), (None, 1, None)], "t double, n bigint, r double")
+    assert [r.p for r in evaluation.correlation_p(odd).collect()] == [None, 0.0, 1.0, None]
 
 
 def test_guard_levels(spark):
