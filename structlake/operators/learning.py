@@ -1,7 +1,7 @@
 """Regression with uncertainty, local regression and family clustering.
 
-Training cost is linear in the rows everywhere: what reaches the driver is a
-Gram matrix of fixed size, tree nodes, or two centroids.
+Training cost is linear in the rows everywhere: what reaches the driver are
+Gram matrices of fixed size, tree nodes, or two centroids.
 """
 
 from __future__ import annotations
@@ -10,14 +10,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
+from pyspark import TaskContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import checkpoint
 from .blending import one_row
 
 FEATURES = ("iso", "hb_cap", "flex")
+#: Length scales that a feature may have, in units of its deviation.
+SCALES = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0)
+#: Matrices that one task adds.
+FAN_IN = 16
 
 
 def standardise(rows: DataFrame, train: DataFrame | None = None,
@@ -37,7 +42,8 @@ class FourierRegression:
 
     Approximates a Gaussian process with a Matérn-3/2 kernel: frequencies are
     drawn from that kernel's spectral density, a Student t with three degrees
-    of freedom (Rahimi and Recht, 2007).
+    of freedom (Rahimi and Recht, 2007).  Every feature has a length scale of
+    its own; the longer it is, the less the feature counts.
     """
 
     center: np.ndarray
@@ -49,6 +55,7 @@ class FourierRegression:
     noise_variance: float
     y_mean: float
     y_scale: float
+    length_scales: tuple[float, ...] = ()
 
     def predict(self, rows: DataFrame, features=FEATURES, mean: str = "gpr_pred_raw",
                 sigma: str = "gpr_sigma") -> DataFrame:
@@ -75,49 +82,91 @@ def _basis(scaled, frequencies, phases):
     return np.sqrt(2.0 / len(phases)) * np.cos(scaled @ frequencies + phases)
 
 
-def fit_fourier(train: DataFrame, target: str = "em", features=FEATURES,
-                size: int = 128, length_scale: float = 1.0, seed: int = 42
-                ) -> FourierRegression:
-    """Fit from summed Gram matrices, one per task, and one small solve."""
-    clean = train.select(*features, target).dropna()
+def _folded(clean: DataFrame, moments, shape: tuple[int, ...]) -> tuple[np.ndarray, float]:
+    """Sum over all tasks of the arrays that ``moments`` makes of a batch, and the number of rows.
+
+    A task gives one row with its array as bytes; rows meet by task number, so
+    many at a time, until one is left.
+    """
+    columns = "task int, n double, total binary"
+
+    def row(task: int, n: float, total: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"task": [task], "n": [n], "total": [total.tobytes()]})
+
+    def local(batches):
+        total, n = np.zeros(shape), 0.0
+        for batch in batches:
+            if len(batch):
+                total += moments(batch)
+                n += len(batch)
+        yield row(TaskContext.get().partitionId(), n, total)
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(t).reshape(shape) for t in rows["total"])
+        return row(int(rows["task"].iloc[0]) // FAN_IN, float(rows["n"].sum()), total)
+
+    level = clean.mapInPandas(local, columns)
+    tasks = clean.rdd.getNumPartitions()
+    while tasks > 1:
+        level = checkpoint(level.groupBy(F.floor(F.col("task") / FAN_IN).alias("block")).applyInPandas(add, columns))
+        tasks = -(-tasks // FAN_IN)
+    last = level.first()
+    return (np.zeros(shape), 0.0) if last is None else (np.frombuffer(last.total).reshape(shape), last.n)
+
+
+def fit_fourier(train: DataFrame, target: str = "em", features=FEATURES, size: int = 128,
+                length_scales: tuple[float, ...] | None = None, seed: int = 42) -> FourierRegression:
+    """Fit from Gram matrices summed over tasks, and small solves.
+
+    Without given scales they are found by ascent on the evidence: every step
+    folds the matrices of all sets that differ in one feature by one place of
+    ``SCALES`` in one pass, and moves to the best.  Evidence rises with each
+    step over a finite grid, so the ascent ends.
+    """
+    clean = checkpoint(train.select(*features, target).dropna())
     names = [*features, target]
     row = clean.agg(*(F.avg(c).alias(f"m_{c}") for c in names),
                     *(F.stddev_pop(c).alias(f"s_{c}") for c in names)).first()
-    center = np.array([row[f"m_{c}"] for c in names])
+    center = np.array([row[f"m_{c}"] or 0.0 for c in names])
     scale = np.array([row[f"s_{c}"] or 1.0 for c in names])
     rng = np.random.default_rng(seed)
-    normal = rng.standard_normal((len(features), size)) / length_scale
-    frequencies = normal / np.sqrt(rng.chisquare(3, size) / 3)
+    normal = rng.standard_normal((len(features), size)) / np.sqrt(rng.chisquare(3, size) / 3)
     phases = rng.uniform(0, 2 * np.pi, size)
 
-    def gram(batches):
-        total, count = np.zeros((size + 1, size + 1)), 0
-        for batch in batches:
+    def solved(wanted: list[tuple[float, ...]]) -> dict:
+        bases = [normal / np.array(w)[:, None] for w in wanted]
+
+        def moments(batch: pd.DataFrame) -> np.ndarray:
             scaled = (batch[names].to_numpy(float) - center) / scale
-            wide = np.column_stack([_basis(scaled[:, :-1], frequencies, phases), scaled[:, -1]])
-            total += wide.T @ wide
-            count += len(batch)
-        yield pd.DataFrame({"pos": np.arange(total.size + 1),
-                            "v": np.append(total.ravel(), float(count))})
-
-    summed = clean.mapInPandas(gram, "pos long, v double").groupBy("pos").agg(
-        F.sum("v").alias("v"))
-    flat = np.zeros((size + 1) ** 2 + 1)
-    for pos, value in summed.collect():  # (size + 1)² + 1 numbers
-        flat[pos] = value
-    moments, n = flat[:-1].reshape(size + 1, size + 1), flat[-1]
-    weights, covariance, noise = _evidence(moments[:-1, :-1], moments[:-1, -1],
-                                           moments[-1, -1], n)
-    return FourierRegression(center[:-1], scale[:-1], frequencies, phases, weights,
-                             covariance, noise, float(center[-1]), float(scale[-1]))
+            wides = (np.column_stack([_basis(scaled[:, :-1], f, phases), scaled[:, -1]]) for f in bases)
+            return np.stack([wide.T @ wide for wide in wides])
+
+        total, n = _folded(clean, moments, (len(wanted), size + 1, size + 1))
+        return {w: _evidence(m[:-1, :-1], m[:-1, -1], m[-1, -1], n) for w, m in zip(wanted, total)}
+
+    best = tuple(length_scales or (1.0,) * len(features))
+    known = solved([best])
+    while length_scales is None:
+        places = [SCALES.index(s) for s in best]
+        around = [best[:k] + (SCALES[p + step],) + best[k + 1:] for k, p in enumerate(places) for step in (-1, 1)
+                  if 0 <= p + step < len(SCALES)]
+        new = [w for w in around if w not in known]
+        known |= solved(new) if new else {}
+        top = max(known, key=lambda w: known[w][3])
+        if top == best:
+            break
+        best = top
+    weights, covariance, noise, _ = known[best]
+    return FourierRegression(center[:-1], scale[:-1], normal / np.array(best)[:, None], phases, weights,
+                             covariance, noise, float(center[-1]), float(scale[-1]), best)
 
 
 def _evidence(gram, cross, square, n, rounds: int = 50):
-    """Prior precision and noise by evidence maximisation on the moments."""
+    """Weights, covariance and noise by evidence maximisation on the moments, and the log evidence."""
     values, vectors = np.linalg.eigh(gram)
     values = np.clip(values, 0, None)
     rotated = vectors.T @ cross
-    prior, noise = 1.0, max(square / n, 1e-6)
+    prior, noise = 1.0, max(square / max(n, 1.0), 1e-6)
     for _ in range(rounds):
         precision = values / noise + prior
         mean = rotated / noise / precision
@@ -127,7 +176,10 @@ def _evidence(gram, cross, square, n, rounds: int = 50):
         noise = float(np.clip(residual / max(n - effective, 1.0), 1e-4, 1e2))
     precision = values / noise + prior
     mean = rotated / noise / precision
-    return vectors @ mean, (vectors / precision) @ vectors.T, noise
+    residual = max(square - 2 * mean @ rotated + np.sum(values * mean * mean), 0.0)
+    evidence = 0.5 * (len(values) * np.log(prior) - n * np.log(2 * np.pi * noise) - residual / noise
+                      - prior * mean @ mean - np.sum(np.log(precision)))
+    return vectors @ mean, (vectors / precision) @ vectors.T, noise, float(evidence)
 
 
 def _assembled(rows: DataFrame, features) -> DataFrame:
@@ -161,10 +213,45 @@ def name_families(rows: DataFrame, centroids: list[tuple[float, float]]) -> Data
         squared(low) <= squared(high), "nitroreductase").otherwise("reductase"))
 
 
+def _rested(places: DataFrame, features: tuple[str, str], start: str) -> tuple[list[tuple[float, ...]], float]:
+    """Centroids after Lloyd steps from the means at or below, and above, the mean of one feature; and their spread."""
+    weight = F.col("count")
+
+    def folded(first, spread) -> list[tuple[float, ...]]:
+        sides = {"low": first, "high": ~first}
+        row = places.agg(*(F.struct(F.sum(F.when(test, weight)).alias("n"), *(
+            F.sum(F.when(test, weight * F.col(f))).alias(f) for f in features)).alias(name) for name, test in sides.items()),
+            F.sum(weight * spread).alias("spread")).first()
+        return [tuple(row[name][f] / row[name].n for f in features) if row[name].n else None for name in sides], row.spread
+
+    def squared(centre):
+        return sum(((F.col(f) - v) * (F.col(f) - v) for f, v in zip(features, centre)), F.lit(0.0))
+
+    middle = places.agg(F.sum(weight * F.col(start)) / F.sum(weight)).first()[0]
+    now, _ = folded(F.col(start) <= middle, F.lit(0.0))
+    if None in now:
+        now = [c or next(filter(None, now)) for c in now]
+    while True:
+        low, high = map(squared, now)
+        moved, spread = folded(low <= high, F.least(low, high))
+        moved = [m or c for m, c in zip(moved, now)]
+        if np.allclose(moved, now, rtol=1e-12, atol=0.0):
+            return now, spread
+        now = moved
+
+
+def two_means(rows: DataFrame, features: tuple[str, str] = ("iso", "hb_cap")) -> list[tuple[float, ...]]:
+    """Two centroids: of the Lloyd descents from a cut at each feature's mean, the one with the least spread.
+
+    Equal rows are counted once and for all, so a step is one aggregation over
+    the distinct ones; two centroids are all that reaches the driver.
+    """
+    places = checkpoint(rows.select(*features).dropna().groupBy(*features).count())
+    return min((_rested(places, features, f) for f in features), key=lambda found: found[1])[0]
+
+
 def cluster_families(rows: DataFrame) -> DataFrame:
     """Two clusters on the first two features, named by their centroids."""
-    features = ("iso", "hb_cap")
-    if len(rows.head(2)) < 2:
+    if len(rows.select("iso", "hb_cap").dropna().head(2)) < 2:
         return rows.withColumn("family", F.lit("single_upload"))
-    model = KMeans(k=2, seed=42, featuresCol="_features").fit(_assembled(rows, features))
-    return name_families(rows, [tuple(map(float, c)) for c in model.clusterCenters()])
+    return name_families(rows, two_means(rows))
