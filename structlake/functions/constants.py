@@ -86,6 +86,8 @@ ACCESSION_PATTERN = (
     r"|[A-NR-Z][0-9](?:[A-Z][A-Z0-9]{2}[0-9]){1,2})$"
 )
 RADICAL_PAIR_ACCESSIONS = ("P26484", "Q9VBW3")
+FIXED_ACCESSION = "P26484"
+CYSTEINE_SCALING = {"iso_scale": 0.85, "hb_scale": 0.9, "cross_scale": 0.9, "sulfur_shift": 0.8}
 
 # Side-chain pseudo-atoms, offsets from the alpha carbon in angstrom.
 SIDE_CHAIN_TEMPLATES = {

@@ -48,6 +48,12 @@ def interpolated_parameters(iso: Column, flex: Column, hb: Column,
     }
 
 
+def cysteine_scaled(parts: dict[str, Column], shift: Column, to_cysteine: Column) -> dict[str, Column]:
+    """Interpolated parameters and sulfur shift of a set that puts a cysteine at the scaled position."""
+    whole = parts | {"sulfur_shift": shift}
+    return {name: value * F.when(to_cysteine, C.CYSTEINE_SCALING[name]).otherwise(1.0) for name, value in whole.items()}
+
+
 def confidence_score(label: Column, distance: Column, bluf_fraction: Column,
                      n_proximal: Column, plddt: Column | None = None) -> Column:
     """Structural confidence between 0 and 100."""
@@ -290,6 +296,29 @@ def accession_mode(accession: Column, otherwise: Column) -> Column:
     return F.when(known, "Radical Pair (Cryptochrome)").otherwise(otherwise)
 
 
+def is_cryptochrome(accession: Column) -> Column:
+    """Whether the open-shell treatment is forced: listed accessions and names that begin with CRY."""
+    return F.coalesce(accession.isin(*C.RADICAL_PAIR_ACCESSIONS) | accession.startswith("CRY"), F.lit(False))
+
+
+def accession_overrides(accession: Column, label: Column, mode: Column, lov: Column, coupling: Column,
+                        detected: Column) -> dict[str, Column]:
+    """What a known accession sets, whatever was measured: label, mode, domain, coupling, treatment and cofactor."""
+    fixed = F.coalesce(accession == C.FIXED_ACCESSION, F.lit(False))
+
+    def forced(value, otherwise: Column) -> Column:
+        return F.when(fixed, F.lit(value)).otherwise(otherwise)
+
+    return {
+        "environment_label": forced("Radical Pair (Cryptochrome)", label),
+        "computational_mode": forced("Radical Pair", mode),
+        "lov_domain": forced(False, lov),
+        "cys_flavin_coupling": forced(0.0, coupling),
+        "force_uhf": is_cryptochrome(accession),
+        "detected_cofactor": F.when(fixed, F.coalesce(F.nullif(detected, F.lit("")), F.lit("FAD"))).otherwise(detected),
+    }
+
+
 def validation_status(present: Column, forced: Column) -> Column:
     return F.when(present, "PASS").when(forced, "FORCED").otherwise("FAIL")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import residues as R
 from .sites import pick_with_neighbours
-from .spatial import RESIDUE, residues
+from .spatial import RESIDUE
 
 
 def environment_features(atoms: DataFrame, radius: float = 6.0,
@@ -20,8 +20,9 @@ def environment_features(atoms: DataFrame, radius: float = 6.0,
     if not water_as_histidine:
         atoms = atoms.where(F.col("resn") != "HOH")
     picked, near = pick_with_neighbours(atoms, radius)
-    # Mean B-factor over all atoms of a residue, not only those in reach.
-    b_means = residues(atoms).select(*RESIDUE, "b_mean")
+    # Mean B-factor over all atoms of a residue, not only those in reach; of the residues that are in reach.
+    b_means = atoms.join(near.select(*RESIDUE).distinct(), RESIDUE, "left_semi").groupBy(*RESIDUE).agg(
+        F.avg("b_factor").alias("b_mean"))
     aa = R.aa_code(F.col("resn"))
     sums = near.join(b_means, RESIDUE).groupBy("structure_id").agg(
         F.count("*").alias("n"),

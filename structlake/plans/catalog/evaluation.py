@@ -54,6 +54,31 @@ def _(t):
     return evals(t).select("pdb_id", *(F.round(c, 9).alias(n) for n, c in parts.items()))
 
 
+@query("p33_cysteine_scaling", """
+SELECT pdb_id, round((-0.008 + 0.005 * flex) * CASE family WHEN 'nitroreductase' THEN 0.9 WHEN 'reductase' THEN 0.95 ELSE 1 END * CASE WHEN c THEN 0.85 ELSE 1 END, 13) AS iso_scale,
+       round((0.02 + 0.003 * tanh(iso / 20)) * CASE WHEN hb_cap < 2 THEN 0.8 ELSE 1 END * CASE WHEN family = 'reductase' THEN 0.9 ELSE 1 END * CASE WHEN c THEN 0.9 ELSE 1 END, 13) AS hb_scale,
+       round((0.05 + 0.005 * flex) / (1 + hb_cap) * CASE WHEN c THEN 0.9 ELSE 1 END, 13) AS cross_scale, round(n5_spin / 7 * CASE WHEN c THEN 0.8 ELSE 1 END, 13) AS sulfur_shift
+FROM (SELECT *, pdb_id % 4 = 0 AS c FROM ev_sql)""")
+def _(t):
+    parts = rules.interpolated_parameters(*(F.col(c) for c in ("iso", "flex", "hb_cap", "family")))
+    scaled = rules.cysteine_scaled(parts, F.col("n5_spin") / 7, F.col("pdb_id") % 4 == 0)
+    return evals(t).select("pdb_id", *(F.round(c, 13).alias(n) for n, c in scaled.items()))
+
+
+@query("p34_engine_overrides", """
+SELECT pdb_id, CASE WHEN fixed THEN 'Radical Pair (Cryptochrome)' ELSE family END AS environment_label, CASE WHEN fixed THEN 'Radical Pair' ELSE cofactor END AS computational_mode,
+  NOT fixed AND hb_cap > 3 AS lov_domain, CASE WHEN fixed THEN 0.0 ELSE hb_cap END::DOUBLE AS cys_flavin_coupling, coalesce(acc IN ('P26484', 'Q9VBW3') OR acc LIKE 'CRY%', false) AS force_uhf,
+  CASE WHEN fixed THEN coalesce(nullif(det, ''), 'FAD') ELSE det END AS detected_cofactor
+FROM (SELECT *, coalesce(acc = 'P26484', false) AS fixed FROM (SELECT *, CASE uniprot_id % 6 WHEN 0 THEN 'P26484' WHEN 1 THEN 'CRY1' WHEN 2 THEN 'Q9VBW3' WHEN 3 THEN 'P1' END AS acc,
+  CASE pdb_id % 3 WHEN 0 THEN '' WHEN 1 THEN cofactor END AS det FROM ev_sql))""")
+def _(t):
+    turn, kind = F.col("uniprot_id") % 6, F.col("pdb_id") % 3
+    accession = F.when(turn == 0, "P26484").when(turn == 1, "CRY1").when(turn == 2, "Q9VBW3").when(turn == 3, "P1")
+    detected = F.when(kind == 0, "").when(kind == 1, F.col("cofactor"))
+    out = rules.accession_overrides(accession, F.col("family"), F.col("cofactor"), F.col("hb_cap") > 3, F.col("hb_cap"), detected)
+    return evals(t).select("pdb_id", *(c.alias(n) for n, c in out.items()))
+
+
 @query("p08_crossing_flag", """
 SELECT pdb_id, coalesce(st_gap < 0.01 AND spin > 0.4, false) AS crossing FROM (SELECT *, CASE WHEN pdb_id % 5 <> 0 THEN n5_spin END AS spin FROM ev_sql)""")
 def _(t):

@@ -326,3 +326,13 @@ FROM (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY line_no) A
 def _(t):
     records = text.scan_records(t.lines).withColumn("sub_line", F.lit(0))
     return structure_edit.render_lines(records)
+
+
+# The small step keeps coordinates away from decimal ties, where engines round apart.
+@query("f10_render_edited", """
+SELECT structure_id, serial_no, printf('%-6s%5d %s%1s%3s %s%4s%1s   %8.3f%8.3f%8.3f%s', record, serial_no,
+       rpad(repeat(' ', CAST((4 - length(atom_name)) // 2 AS BIGINT)) || atom_name, 4, ' '), altloc, resn, chain, resi, icode, x + 0.0000137, y + 0.0000137, z + 0.0000137, tail) AS value
+FROM (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY line_no, sub_line, atom_name) AS serial_no FROM edited_sql)""")
+def _(t):
+    edited = structure_edit.apply_mutations(text.scan_records(t.lines), targets(t))
+    return structure_edit.render_lines(edited.withColumns({a: F.col(a) + 0.0000137 for a in "xyz"}))
