@@ -86,13 +86,19 @@ def held_out(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == 0
 
 
+def share_bound(limit: int, rows: int) -> int | None:
+    """The signed 64-bit value below which hashes of ``limit`` in ``rows`` rows lie; None where all rows are taken."""
+    return None if limit >= rows else limit * (1 << 64) // rows - (1 << 63)
+
+
 def sampled_share(frame: DataFrame, key: Column, limit: int) -> DataFrame:
     """About ``limit`` rows, the same on every run: all rows while they fit.
 
-    The share is set by the row count, so no rows are gathered or sorted.
+    The share is set by the row count, so no rows are gathered or sorted; it is
+    cut in the whole range of a 64-bit hash, so it never rounds to nothing.
     """
-    share = min(1.0, limit / max(1, frame.count()))
-    return frame.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
+    bound = share_bound(limit, frame.count())
+    return frame if bound is None else frame.where(F.xxhash64(key, F.lit("sample")) < bound)
 
 
 def row_key(frame: DataFrame) -> Column:

@@ -400,3 +400,14 @@ def test_extra_columns_with_clashing_names(spark, odd_docs, labels, benchmark):
                 decontaminate.clean_documents(clash, benchmark), mixing.mixed_documents(clash)):
         assert out.columns == clash.columns
         assert {tuple(r)[5:] for r in out.collect()} == {tuple(f"extra {c}" for c in clash.columns[5:])}
+
+
+def test_sample_share_never_rounds_to_nothing(spark):
+    from structlake.llm.common import sampled_share, share_bound
+    for rows in (10**5, 10**11, 10**14):
+        expected = (share_bound(20_000, rows) + (1 << 63)) / (1 << 64) * rows
+        assert abs(expected - 20_000) < 1
+    assert share_bound(20_000, 20_000) is None and share_bound(5, 0) is None
+    ids = spark.range(50_000)
+    assert 800 < sampled_share(ids, F.col("id"), 1000).count() < 1200
+    assert sampled_share(ids, F.col("id"), 50_000).count() == 50_000
