@@ -54,7 +54,7 @@ def _(t):
     line = F.concat_ws(",", F.when(F.col("seq") % 50 == 0, "not a number").otherwise(
         F.col("seq").cast("string")), "profile_id", F.col("value").cast("string"))
     t.log.select(line.alias("value")).write.mode("overwrite").text(path)
-    good = t.spark.read.schema(LOG_SCHEMA).option("mode", "DROPMALFORMED").csv(path)
+    good = tables.safe_read_table(t.spark, path, LOG_SCHEMA, header=False)
     absent = tables.safe_read_table(t.spark, path + "-absent", LOG_SCHEMA)
     return good.unionByName(absent)
 

@@ -31,21 +31,21 @@ def with_normal_headers(frame: DataFrame) -> DataFrame:
     return frame.toDF(*(normalise_header(c) for c in frame.columns))
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None
-               ) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
+               header: bool = True) -> DataFrame:
     """CSV with malformed rows dropped; text columns unless a schema is given."""
-    reader = spark.read.option("header", "true").option("mode", "DROPMALFORMED")
+    reader = spark.read.option("header", header).option("mode", "DROPMALFORMED")
     if schema is not None:
         reader = reader.schema(schema)
     return with_normal_headers(reader.csv(path))
 
 
-def safe_read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def safe_read_table(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
     """As :func:`read_table`, but an unreadable path gives an empty table."""
     from pyspark.errors import AnalysisException
 
     try:
-        return read_table(spark, path, schema)
+        return read_table(spark, path, schema, header)
     except AnalysisException:
         return with_normal_headers(spark.createDataFrame([], schema))
 

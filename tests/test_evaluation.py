@@ -200,3 +200,15 @@ def test_two_means_rest(spark):
     assert np.allclose(points[near].mean(0), low) and np.allclose(points[~near].mean(0), high) and near.sum() == 80
     same = spark.createDataFrame([(1.0, 2.0)] * 3, "iso double, hb_cap double")
     assert learning.two_means(same) == [(1.0, 2.0), (1.0, 2.0)]
+
+
+def test_long_curves_are_dealt(spark):
+    rows = [("long", t, math.sin(t / 7)) for t in range(500)] + [("short", 0, 1.0), ("short", 1, 3.0), (None, 0, 2.0)]
+    frame = spark.createDataFrame(rows, "curve_id string, theta int, phi double").where("curve_id IS NOT NULL")
+    for crowd in (7, 100, 10_000):
+        got = {r.curve_id: r for r in curves.spike_metrics(frame, crowd).collect()}
+        assert got["short"].spike_amp == 2.0 and (got["short"].theta_at_max, got["short"].theta_at_min) == (1, 0)
+        low, high = min(rows[:500], key=lambda r: (r[2], r[1])), max(rows[:500], key=lambda r: (r[2], -r[1]))
+        assert (got["long"].theta_at_max, got["long"].theta_at_min) == (high[1], low[1])
+        means = curves.centred(frame, crowd).groupBy("curve_id").agg(F.count("*").alias("n"), F.avg("phi_centred").alias("m")).collect()
+        assert {r.curve_id: r.n for r in means} == {"long": 500, "short": 2} and all(abs(r.m) < 1e-12 for r in means)
