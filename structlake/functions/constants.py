@@ -151,7 +151,3 @@ SECOND_SHELL_PENALTY = 0.35
 ABSOLUTE_TOLERANCE = 1e-3
 RELATIVE_TOLERANCE = 0.02
 EMISSION_TOLERANCE = 1e-3
-AUDIT_FIELDS = (
-    "pred_final", "st_gap", "n5_spin_density", "hfcc_primary_mhz",
-    "quantum_polarizability", "hb_cap", "flex",
-)

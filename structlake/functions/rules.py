@@ -296,6 +296,11 @@ def accession_mode(accession: Column, otherwise: Column) -> Column:
     return F.when(known, "Radical Pair (Cryptochrome)").otherwise(otherwise)
 
 
+def is_known_failure(pdb_id: Column) -> Column:
+    """Whether a structure is on the list of known failures; case is ignored."""
+    return F.coalesce(F.upper(pdb_id.cast("string")).isin(*C.FAILURE_IDS), F.lit(False))
+
+
 def is_cryptochrome(accession: Column) -> Column:
     """Whether the open-shell treatment is forced: listed accessions and names that begin with CRY."""
     return F.coalesce(accession.isin(*C.RADICAL_PAIR_ACCESSIONS) | accession.startswith("CRY"), F.lit(False))

@@ -8,7 +8,7 @@ from ..functions import rules
 from . import blending
 
 
-def predict(rows: DataFrame, train: DataFrame, is_failure: Column, single: bool = False,
+def predict(rows: DataFrame, train: DataFrame, is_failure: Column | None = None, single: bool = False,
             evaluating: bool = False) -> DataFrame:
     """Profile rows from model outputs and measured features.
 
@@ -18,8 +18,11 @@ def predict(rows: DataFrame, train: DataFrame, is_failure: Column, single: bool
     ``gpr_sigma``, ``local_pred``, ``pred_8q``, ``pred_16q``, ``st_gap`` and the
     features; ``train`` gives all statistics.  ``single`` calibrates the value
     of a single structure instead of the batch value.  Statistics are taken
-    once per step, as scalar subqueries.
+    once per step, as scalar subqueries.  Failures are the known ones by
+    ``pdb_id`` unless a flag is given.
     """
+    if is_failure is None:
+        is_failure = rules.is_known_failure(F.col("pdb_id"))
     blended = blending.with_fallback(rows, train).withColumn("gpr_pred_raw", F.col("gpr_blended"))
     pulled = blending.with_prior(blended, train).withColumn("gpr_pred_raw", F.col("gpr_prior"))
     weighted = blending.with_quantum_weight(

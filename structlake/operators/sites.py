@@ -103,10 +103,19 @@ def pick_with_neighbours(atoms: DataFrame, radius: float, site_key=RESIDUE):
     cent of the atoms, and filters inferred on one of the two uses keep the
     planner from sharing the range join, so they are cut by a checkpoint.
     """
+    return picks_with_neighbours(atoms, [radius], site_key)[radius]
+
+
+def picks_with_neighbours(atoms: DataFrame, radii: list[float], site_key=RESIDUE) -> dict:
+    """:func:`pick_with_neighbours` at several radii from one range join at the widest."""
     sites = cofactor_sites(atoms, site_key)
-    pairs = checkpoint(site_residue_pairs(atoms, sites, radius, site_key, site_key))
-    picked = representative_site(site_scores(pairs, sites, site_key), site_key)
-    return picked, chosen_pairs(picked, pairs, site_key)
+    pairs = checkpoint(site_residue_pairs(atoms, sites, max(radii), site_key, site_key))
+    out = {}
+    for radius in radii:
+        inside = pairs if radius == max(radii) else pairs.where(F.col("min_dist") <= radius)
+        picked = representative_site(site_scores(inside, sites, site_key), site_key)
+        out[radius] = picked, chosen_pairs(picked, inside, site_key)
+    return out
 
 
 def chosen_pairs(picked: DataFrame, pairs: DataFrame, site_key=RESIDUE) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions import constants as C, jsonio, rules
 from ...operators import blending, curves, evaluation, prediction
+from ...session import checkpoint
 from ..registry import query, view
 from .structures import rounded
 
@@ -318,6 +319,21 @@ def _(t):
     ).select("model", "subset", "n", *rounded("mae", "medae", "r2"))
 
 
+FAILED = "split_part('" + ",".join(C.FAILURE_IDS) + "', ',', CAST(pdb_id % 14 AS INTEGER) + 1)"
+
+
+@query("a16_known_failures", f"""
+SELECT subset, count(*) AS n, round(avg(err_final), 6) AS mae FROM (
+  SELECT err_final, CASE WHEN upper(id) IN {tuple(C.FAILURE_IDS)} THEN 'failure' ELSE 'clean' END AS subset FROM (
+    SELECT err_final, CASE WHEN pdb_id % 3 = 0 THEN lower({FAILED}) ELSE {FAILED} END AS id FROM ev_sql)) GROUP BY 1""")
+def _(t):
+    listed_id = F.split_part(F.lit(",".join(C.FAILURE_IDS)), F.lit(","), (F.col("pdb_id") % 14 + 1).cast("int"))
+    failure = rules.is_known_failure(F.when(F.col("pdb_id") % 3 == 0, F.lower(listed_id)).otherwise(listed_id))
+    rows = checkpoint(evals(t).withColumn("known", failure))
+    return evaluation.regression_metrics(rows, {"quantum": "pred_q"}, {"clean": ~F.col("known"), "failure": F.col("known")}).select(
+        "subset", "n", *rounded("mae"))
+
+
 @query("a17_hit_counts", """
 SELECT count(*) AS n, count(*) FILTER (err_final < 36) AS hits_36, count(*) FILTER (err_final < 43) AS hits_43,
   round(100.0::DOUBLE * count(*) FILTER (err_final < 36) / count(*), 6) AS pct_36, round(100.0::DOUBLE * count(*) FILTER (err_final < 43) / count(*), 6) AS pct_43,

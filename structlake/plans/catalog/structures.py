@@ -265,10 +265,9 @@ def _(t):
     for r in (5, 6, 8, 12)))
 def _(t):
     out = None
-    for radius in (5, 6, 8, 12):
-        _picked, near = sites.pick_with_neighbours(t.atoms, float(radius))
+    for radius, (_picked, near) in sites.picks_with_neighbours(t.atoms, [5.0, 6.0, 8.0, 12.0]).items():
         part = near.select(
-            F.lit(radius).alias("radius"), *spatial.RESIDUE, *rounded("min_dist"))
+            F.lit(int(radius)).alias("radius"), *spatial.RESIDUE, *rounded("min_dist"))
         out = part if out is None else out.unionByName(part)
     return out
 
