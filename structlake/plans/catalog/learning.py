@@ -21,7 +21,8 @@ def _(t):
 @query("m02_fourier_regression", "SELECT count(*) AS n, count(*) AS n_sigma, true AS beats_mean FROM ev_sql")
 def _(t):
     rows = evals(t).select("pdb_id", "em", *learning.FEATURES)
-    predicted = learning.fit_fourier(rows).predict(rows)
+    # At unit scales, as the query has always been; the search for scales is in m02_held_out.
+    predicted = learning.fit_fourier(rows, length_scales=(1.0, 1.0, 1.0)).predict(rows)
     error = F.col("em") - F.col("gpr_pred_raw")
     return predicted.agg(
         F.count("*").alias("n"), F.count_if(F.col("gpr_sigma") > 0).alias("n_sigma"),
