@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from itertools import product
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import (
     axis_gap, cell_index, pack_cell, squared_distance,
@@ -105,6 +105,17 @@ def residues(atoms: DataFrame, key=RESIDUE) -> DataFrame:
     )
 
 
+def steady_mean(name: str) -> Column:
+    """Mean of a coordinate over its decimal digits, the same in whatever order the rows are added.
+
+    A sum of doubles depends on that order in its last bits, and they decide
+    whether an atom exactly one radius away is inside.  Values that have no
+    decimal form (infinite, NaN) leave the plain mean.
+    """
+    digits = F.col(name).try_cast("decimal(28,15)")
+    return F.when(F.count(digits) == F.count(name), F.sum(digits).cast("double") / F.count(name)).otherwise(F.avg(name))
+
+
 def burial(atoms: DataFrame, key=POSITION, radius: float = 6.0,
            of: DataFrame | None = None) -> DataFrame:
     """Per residue, how many other residues have an atom near its centroid.
@@ -115,8 +126,7 @@ def burial(atoms: DataFrame, key=POSITION, radius: float = 6.0,
     names = [k for k in key if k != "structure_id"]
     measured = atoms if of is None else atoms.join(
         of.select(*key).distinct(), list(key), "left_semi")
-    centers = measured.groupBy(*key).agg(
-        F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg("z").alias("cz"))
+    centers = measured.groupBy(*key).agg(*(steady_mean(a).alias(f"c{a}") for a in "xyz"))
     others = atoms.select(
         "structure_id", *(F.col(n).alias(f"other_{n}") for n in names),
         "x", "y", "z")

@@ -218,3 +218,13 @@ def test_hashes_notice_order(spark):
     got = {r.structure_id: tuple(r)[1:] for r in structure_edit.structure_hashes(lines).join(
         structure_edit.coordinate_hashes(text.scan_atoms(lines)), "structure_id").collect()}
     assert got[1] == got[3] and all(a != b for a, b in zip(got[1][:3], got[2][:3]))
+
+
+def test_burial_does_not_depend_on_the_order_of_atoms(spark):
+    # The mean of the three is exactly six away from the other residue's atom.
+    for zs in ((0.1, 0.1, 23.5), (0.1, 23.5, 0.1), (23.5, 0.1, 0.1)):
+        rows = [("s", "A", "1", " ", 0.0, 0.0, z) for z in zs] + [("s", "A", "2", " ", 0.0, 0.0, 13.9)]
+        atoms = spark.createDataFrame(rows, "structure_id string, chain string, resi string, icode string, x double, y double, z double")
+        assert {r.resi: r.burial for r in spatial.burial(atoms.coalesce(1)).collect()}["1"] == 0
+    infinite = spark.createDataFrame([("s", "A", "1", " ", 0.0, 0.0, float("nan"))], atoms.schema)
+    assert [r.burial for r in spatial.burial(infinite).collect()] == [0]
