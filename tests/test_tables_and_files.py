@@ -76,3 +76,23 @@ def test_extreme_rows_of_a_heavy_key_need_no_sort(spark):
     out = extreme_rows(frame, "k", "id")
     assert "SortAggregate" not in plan_of(out) and out.where("k = 'hot'").select("id").collect() == [(299_998,)]
     assert out.count() == 100_001
+
+
+def test_many_small_files_are_dealt_over_tasks(spark, tmp_path):
+    """Small files are written by many tasks, and listed by a few tasks a core instead of one a folder."""
+    lines = spark.range(300).selectExpr("id AS structure_id", "1 AS line_no", "'END' AS value")
+    files.write_structure_files(lines, f"{tmp_path}/main")
+    written = [p.name for p in (tmp_path / "main").rglob("part-*.txt")]
+    assert len(written) == 300 and len({name.split("-")[1] for name in written}) > 1
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    context, before = spark.sparkContext, spark.conf.get(setting)
+    context.setJobGroup("listing", "listing")
+    try:
+        listed = files.list_files(spark, str(tmp_path), "*.txt", files.WRITTEN)
+        contents = files.read_contents(spark, listed, files.WRITTEN)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= 4 * context.defaultParallelism
+    assert contents.count() == 300 and spark.conf.get(setting) == before
