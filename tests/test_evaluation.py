@@ -212,3 +212,18 @@ def test_long_curves_are_dealt(spark):
         assert (got["long"].theta_at_max, got["long"].theta_at_min) == (high[1], low[1])
         means = curves.centred(frame, crowd).groupBy("curve_id").agg(F.count("*").alias("n"), F.avg("phi_centred").alias("m")).collect()
         assert {r.curve_id: r.n for r in means} == {"long": 500, "short": 2} and all(abs(r.m) < 1e-12 for r in means)
+
+
+def test_forest_merges_equal_rows(spark, monkeypatch):
+    """Copies of rows add weight, not rows, and a leaf still has two rows."""
+    taken = []
+    fit = learning.RandomForestRegressor.fit
+    monkeypatch.setattr(learning.RandomForestRegressor, "fit", lambda self, rows: taken.append(rows.count()) or fit(self, rows))
+    once = spark.range(100).selectExpr("id * 1.0D AS iso", "id % 7 * 1.0D AS hb_cap", "id % 3 * 1.0D AS flex", "id % 10 * 1.0D AS em")
+    copied = once.join(spark.range(20).select(F.col("id").alias("copy")), how="cross").drop("copy")
+    learning.fit_local_forest(once, trees=2)
+    learning.fit_local_forest(copied, trees=2)
+    assert taken[0] == 100 and taken[1] <= 100 * learning.BLOCKS
+    pair = spark.createDataFrame([(1.0, 1.0, 1.0, 5.0)] * 30 + [(2.0, 1.0, 1.0, 9.0)] * 30, "iso double, hb_cap double, flex double, em double")
+    model = learning.fit_local_forest(pair, trees=40)
+    assert {r.iso: round(r.local_pred, 1) > 7 for r in learning.predict_local(model, pair).collect()} == {1.0: False, 2.0: True}
