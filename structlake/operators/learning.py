@@ -81,7 +81,14 @@ class FourierRegression:
 
 
 def _basis(scaled, frequencies, phases):
-    return np.sqrt(2.0 / len(phases)) * np.cos(scaled @ frequencies + phases)
+    # Single-precision cosines take a ninth of the time; sums over them stay in double precision.
+    angles = scaled @ frequencies + phases
+    return np.multiply(np.cos(angles.astype(np.float32)), np.sqrt(2.0 / len(phases)), dtype=float)
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over all shuffle partitions: the work on a row is far dearer than its bytes, by which partitions are merged."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _folded(clean: DataFrame, moments, shape: tuple[int, ...]) -> tuple[np.ndarray, float]:
@@ -125,7 +132,7 @@ def fit_fourier(train: DataFrame, target: str = "em", features=FEATURES, size: i
     ``SCALES`` in one pass, and moves to the best.  Evidence rises with each
     step over a finite grid, so the ascent ends.
     """
-    clean = checkpoint(train.select(*features, target).dropna())
+    clean = checkpoint(_spread(train.select(*features, target).dropna()))
     names = [*features, target]
     row = clean.agg(*(F.avg(c).alias(f"m_{c}") for c in names),
                     *(F.stddev_pop(c).alias(f"s_{c}") for c in names)).first()
