@@ -81,7 +81,7 @@ class FourierRegression:
 
 
 def _basis(scaled, frequencies, phases):
-    # Single-precision cosines take a ninth of the time; sums over them stay in double precision.
+    # Single-precision cosines take about an eighth of the time; sums over them stay in double precision.
     angles = scaled @ frequencies + phases
     return np.multiply(np.cos(angles.astype(np.float32)), np.sqrt(2.0 / len(phases)), dtype=float)
 
