@@ -6,14 +6,21 @@ do.  The edges end as stars around the smallest node of each component, after
 O(log^2) rounds, and the loop runs until they no longer change: there is no
 bound on rounds or on a component's size.  A node's neighbours are never
 gathered; only their minimum is, which combines before the shuffle.
+
+Each shuffle leaves some files a task, so a round over few edges runs in few
+tasks, whatever the number of shuffle partitions: one for every ``EDGES`` edges,
+and no fewer than the session runs at a time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from ..session import checkpoint
 
+#: Edges of a task, where the session has more tasks than it runs at a time.
+EDGES = 20_000
+
 
 def _from_smallest(edges: DataFrame) -> DataFrame:
     """Each edge (u, v) with ``low``, the smallest of u and its v."""
@@ -35,6 +42,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )).alias("e")).select("e.u", "e.v").where(F.col("u") != F.col("v"))
 
 
+def _mark(edges: DataFrame) -> Row:
+    """Count and sum of hashes: equal for equal edges."""
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the component's smallest node) of every node but the roots.
 
@@ -44,10 +56,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     first, second = edges.columns
     now = checkpoint(edges.select(F.col(first).alias("u"), F.col(second).alias("v"))
                      .where(F.col("u") != F.col("v")).distinct())
-    sign = None
+    sign = _mark(now)
     while True:
-        now = checkpoint(_small_star(_large_star(now).distinct()).distinct())
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-sign[0] // EDGES))
+        large = _large_star(now.coalesce(tasks)).coalesce(tasks).distinct().coalesce(tasks)
+        now = checkpoint(_small_star(large).coalesce(tasks).distinct().coalesce(tasks))
+        mark = _mark(now)
         if mark == sign:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         sign = mark
