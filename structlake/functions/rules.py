@@ -334,6 +334,26 @@ def crossing_message(flag: Column, criteria: Column) -> Column:
     return F.concat(prefix, F.lit(" (criteria: "), criteria, F.lit(")"))
 
 
+def fixed_text(value: Column, digits: int) -> Column:
+    """A double with so many digits (1 to 6) after the point, rounded by its exact value, halves to even, as C does.
+
+    Java's formatter rounds the shortest decimal form of the number, halves up,
+    so that 1.005, which is a little less than its digits say, becomes 1.01.
+    """
+    one, scale = F.lit(2 ** 60).cast("decimal(19,0)"), 10 ** digits
+    size, whole = F.abs(value), F.floor(F.abs(value))
+    # The part behind the point in units of 2^-60: taking it off and a power of two are exact.
+    units = ((size - whole) * F.lit(2.0 ** 60)).cast("bigint").cast("decimal(19,0)") * F.lit(scale).cast("decimal(7,0)")
+    rest = units % one
+    down = ((units - rest) / one).cast("bigint")
+    up = (rest * 2 > one) | ((rest * 2 == one) & (down % 2 == 1))
+    shown = down + up.cast("bigint")
+    text = F.concat(F.when(value.cast("string").startswith("-"), "-").otherwise(""),
+                    (whole + F.floor(shown / scale)).cast("string"), F.lit("."),
+                    F.lpad((shown % scale).cast("string"), digits, "0"))
+    return F.when(size < 2.0 ** 53, text).otherwise(F.format_string(f"%.{digits}f", value))
+
+
 def nearest_report(resn: Column, resi: Column, atom: Column,
                    distance: Column) -> Column:
-    return F.format_string("%s%s-%s found at %.2f Å", resn, resi, atom, distance)
+    return F.format_string("%s%s-%s found at %s Å", resn, resi, atom, fixed_text(distance, 2))

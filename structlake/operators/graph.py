@@ -11,6 +11,7 @@ from ..functions.geometry import cell_index, pack_cell, squared_distance
 from ..session import checkpoint
 from .components import connected_components
 from .scanner import RESIDUE_NAMES
+from .spatial import steady_mean
 
 #: Cells of a pair are halved while one of them holds more points than this, at most so many times.
 CROWD, HALVINGS = 64, 10
@@ -20,7 +21,7 @@ _SLACK = 1e-9
 def tryptophan_nodes(atoms: DataFrame, proximal: DataFrame) -> DataFrame:
     """Centroids of the proximal tryptophans, one row per residue."""
     centroids = atoms.where(F.col("resn") == "TRP").groupBy(*RESIDUE_NAMES).agg(
-        *(F.avg(a).alias(f"c{a}") for a in "xyz"))
+        *(steady_mean(a).alias(f"c{a}") for a in "xyz"))
     return centroids.join(
         proximal.where(F.col("resn") == "TRP"), RESIDUE_NAMES, "left_semi"
     ).select("structure_id", F.concat_ws(":", "chain", "resi").alias("node"),

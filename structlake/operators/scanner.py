@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as C, residues as R
 from ..session import checkpoint
-from .spatial import with_center
+from .spatial import steady_mean, with_center
 
 RESIDUE_NAMES = ["structure_id", "resn", "chain", "resi"]
 
@@ -70,7 +70,7 @@ def pocket_frame(atoms: DataFrame, forced: str | None = None) -> DataFrame:
         mine = F.col("resn") == kind
         aggregates.append(F.count_if(mine).alias(f"{kind}_atoms"))
         for a in "xyz":
-            aggregates.append(F.avg(F.when(mine, F.col(a))).alias(f"{kind}_c{a}"))
+            aggregates.append(steady_mean(F.when(mine, F.col(a))).alias(f"{kind}_c{a}"))
             for anchor in ("n5", "o4"):
                 named = mine & name.isin(anchor.upper(), anchor.upper() + "A")
                 aggregates.append(

@@ -105,15 +105,16 @@ def residues(atoms: DataFrame, key=RESIDUE) -> DataFrame:
     )
 
 
-def steady_mean(name: str) -> Column:
+def steady_mean(name: str | Column) -> Column:
     """Mean of a coordinate over its decimal digits, the same in whatever order the rows are added.
 
     A sum of doubles depends on that order in its last bits, and they decide
     whether an atom exactly one radius away is inside.  Values that have no
     decimal form (infinite, NaN) leave the plain mean.
     """
-    digits = F.col(name).try_cast("decimal(28,15)")
-    return F.when(F.count(digits) == F.count(name), F.sum(digits).cast("double") / F.count(name)).otherwise(F.avg(name))
+    value = F.col(name) if isinstance(name, str) else name
+    digits = value.try_cast("decimal(28,15)")
+    return F.when(F.count(digits) == F.count(value), F.sum(digits).cast("double") / F.count(value)).otherwise(F.avg(value))
 
 
 def burial(atoms: DataFrame, key=POSITION, radius: float = 6.0,

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from structlake.functions import rules
 from structlake.operators import environment, graph, scanner, sites, spatial, structure_edit
 from structlake.sources import structure_text as text
 
@@ -228,3 +229,26 @@ def test_burial_does_not_depend_on_the_order_of_atoms(spark):
         assert {r.resi: r.burial for r in spatial.burial(atoms.coalesce(1)).collect()}["1"] == 0
     infinite = spark.createDataFrame([("s", "A", "1", " ", 0.0, 0.0, float("nan"))], atoms.schema)
     assert [r.burial for r in spatial.burial(infinite).collect()] == [0]
+
+
+def test_message_rounds_the_exact_distance(spark):
+    values = [1.005, 0.125, 0.375, 2.675, 4.985, 1.115, 0.005, 9.995, 0.995, 12.0, 0.0, 1e-9, 123456.785, -0.001, -2.675]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (2, 3, 6):
+        shown = rows.select("v", rules.fixed_text(F.col("v"), digits).alias("s")).collect()
+        assert [r.s for r in shown] == [f"{r.v:.{digits}f}" for r in shown]
+    report = rules.nearest_report(F.lit("GLY"), F.lit("1"), F.lit("N"), F.col("v"))
+    assert rows.select(report.alias("s")).first().s == "GLY1-N found at 1.00 Å"
+    odd = spark.createDataFrame([(float("nan"),), (1e300,)], "v double").select(rules.fixed_text(F.col("v"), 2).alias("s"))
+    assert [len(r.s) for r in odd.collect()] == [3, 304]
+
+
+def test_pocket_centre_does_not_depend_on_the_order_of_atoms(spark):
+    found = set()
+    for zs in ((0.1, 0.1, 23.5), (0.1, 23.5, 0.1), (23.5, 0.1, 0.1)):
+        rows = [("s", n, "C", "FMN", "A", "9", " ", 0.0, 0.0, z, "C") for n, z in enumerate(zs)] + [
+            ("s", 7, "CA", "GLY", "A", "1", " ", 0.0, 0.0, 13.9, "C")]
+        atoms = spark.createDataFrame(rows, "structure_id string, line_no bigint, atom_name string, resn string, chain string, "
+                                            "resi string, icode string, x double, y double, z double, element string")
+        found.add(scanner.pocket_frame(atoms.coalesce(1)).first().cz)
+    assert len(found) == 1
