@@ -114,7 +114,8 @@ def steady_mean(name: str | Column) -> Column:
     """
     value = F.col(name) if isinstance(name, str) else name
     digits = value.try_cast("decimal(28,15)")
-    return F.when(F.count(digits) == F.count(value), F.sum(digits).cast("double") / F.count(value)).otherwise(F.avg(value))
+    return F.when(F.count(digits) == F.count(value), F.sum(digits).cast("double") / F.count(value)).otherwise(
+        F.sum(value) / F.count(value))
 
 
 def burial(atoms: DataFrame, key=POSITION, radius: float = 6.0,
@@ -127,26 +128,59 @@ def burial(atoms: DataFrame, key=POSITION, radius: float = 6.0,
     names = [k for k in key if k != "structure_id"]
     measured = atoms if of is None else atoms.join(
         of.select(*key).distinct(), list(key), "left_semi")
-    centers = measured.groupBy(*key).agg(*(steady_mean(a).alias(f"c{a}") for a in "xyz"))
-    others = atoms.select(
-        "structure_id", *(F.col(n).alias(f"other_{n}") for n in names),
-        "x", "y", "z")
-    same = F.lit(True)
-    for name in names:
-        same = same & (F.col(name) == F.col(f"other_{name}"))
+    centers = measured.groupBy(*key).agg(*(steady_mean(a).alias(f"c{a}") for a in "xyz")).select(
+        "structure_id", place(names).alias("place"), "cx", "cy", "cz")
+    others = atoms.select("structure_id", place(names).alias("other"), "x", "y", "z")
+    # Cells of two radii: a centre goes to 7 of them on average, not to 21, and
+    # what is shuffled is mostly centres here.
+    pairs = pairs_within(centers, others, radius, strict=True, edge=2 * radius)
     # Distinct (residue, neighbour) first: it combines before its shuffle, so
     # a residue with many close atoms ships one row.  Residues without any
     # neighbour enter as zero rows of the same aggregation, not by a join.
     near = (
-        pairs_within(centers, others, radius, strict=True)
-        .where(~same)
-        .select(*key, *(f"other_{n}" for n in names))
+        pairs.where(other_place("place", "other", names))
+        .select("structure_id", "place", "other")
         .distinct()
-        .select(*key, F.lit(1).alias("n"))
+        .select("structure_id", "place", F.lit(1).alias("n"))
     )
     asked = atoms if of is None else of
-    listed = asked.select(*key).distinct().withColumn("n", F.lit(0))
-    return near.unionByName(listed).groupBy(*key).agg(F.sum("n").alias("burial"))
+    listed = asked.select("structure_id", place(names).alias("place")).distinct().withColumn("n", F.lit(0))
+    counted = near.unionByName(listed).groupBy("structure_id", "place").agg(F.sum("n").alias("burial"))
+    return counted.select(*(F.col(k) if k == "structure_id" else part("place", names.index(k)).cast(atoms.schema[k].dataType).alias(k)
+                            for k in key), "burial")
+
+
+#: Ends a part of a residue's place, stands for a part that is null, and opens the two of these and itself inside a part.
+_END, _NULL, _OPEN = "\u0000", "\u0001", "\u0002"
+_WRITTEN = ((_OPEN, _OPEN + "2"), (_NULL, _OPEN + "1"), (_END, _OPEN + "0"))
+
+
+def place(names: list[str]) -> Column:
+    """The columns that name a residue in its structure as one string, a third as long in a shuffle as the columns."""
+    def written(name):
+        text = F.col(name).cast("string")
+        for sign, form in _WRITTEN:
+            text = F.replace(text, F.lit(sign), F.lit(form))
+        return F.coalesce(text, F.lit(_NULL))
+
+    return F.concat_ws(_END, *map(written, names))
+
+
+def part(column: str, at: int) -> Column:
+    """One of the columns that ``place`` was made of, as text."""
+    text = F.nullif(F.get(F.split(column, _END), F.lit(at)), F.lit(_NULL))
+    for sign, form in reversed(_WRITTEN):
+        text = F.replace(text, F.lit(form), F.lit(sign))
+    return text
+
+
+def other_place(one: str, two: str, names: list[str]) -> Column:
+    """Whether two places differ; as in SQL, a null part neither differs nor is the same."""
+    same = F.lit(True)
+    for at in range(len(names)):
+        same = same & (part(one, at) == part(two, at))
+    null = F.contains(F.col(one), F.lit(_NULL)) | F.contains(F.col(two), F.lit(_NULL))
+    return F.when(null, ~same).otherwise(F.col(one) != F.col(two))
 
 
 def clash_pairs(atoms: DataFrame, targets: DataFrame, near: float = 6.0,

@@ -252,3 +252,22 @@ def test_pocket_centre_does_not_depend_on_the_order_of_atoms(spark):
                                             "resi string, icode string, x double, y double, z double, element string")
         found.add(scanner.pocket_frame(atoms.coalesce(1)).first().cz)
     assert len(found) == 1
+
+
+def test_burial_of_odd_places_and_what_it_shuffles(spark):
+    """Places of signs, nulls and numbers come back as they were; the places of a pair go as two strings, not as six."""
+    odd = [("A", "1", " "), ("A\x00", "1", " "), ("A", "\x001", " "), ("", "\x02", "\x01"), ("\x02", "0", ""), (None, "1", " "), ("A", None, " ")]
+    rows = [("s", *p, float(n) / 10, 0.0, 0.0) for n, p in enumerate(odd)]
+    atoms = spark.createDataFrame(rows, "structure_id string, chain string, resi string, icode string, x double, y double, z double")
+
+    def same(p, q):
+        parts = [None if a is None or b is None else a == b for a, b in zip(p, q)]
+        return False if False in parts else None if None in parts else True
+
+    got = {(r.chain, r.resi, r.icode): r.burial for r in spatial.burial(atoms).collect()}
+    assert got == {p: sum(same(p, q) is False for q in odd) for p in odd}
+    numbered = atoms.where("resi = '1'").withColumn("resi", F.lit(7))
+    assert spatial.burial(numbered).schema["resi"].dataType.simpleString() == "int"
+    plan = spatial.burial(atoms)._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffled and not any("other_resi" in line for line in shuffled)
