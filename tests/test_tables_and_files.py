@@ -96,3 +96,16 @@ def test_many_small_files_are_dealt_over_tasks(spark, tmp_path):
     stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
     assert stages and max(s.numTasks for s in stages if s) <= 4 * context.defaultParallelism
     assert contents.count() == 300 and spark.conf.get(setting) == before
+
+
+def test_files_of_several_folders_are_written_at_once(spark, tmp_path):
+    rows = [("a", 2, "two"), ("a", 1, "HETATM one"), ("b", 1, "HETATM"), ("c", 1, "none"), ("c", 2, "")]
+    lines = spark.createDataFrame(rows, "structure_id string, line_no long, value string")
+    path = str(tmp_path / "out")
+    files.write_structure_files(lines, path, {
+        "main": F.col("structure_id") != "c", "cache": ~F.col("value").like("HETATM%")})
+    written = {p.parent.relative_to(path).as_posix(): p.read_text() for p in (tmp_path / "out").rglob("*.txt")}
+    assert written == {"folder=main/structure_id=a": "HETATM one\ntwo\n", "folder=main/structure_id=b": "HETATM\n",
+                       "folder=cache/structure_id=a": "two\n", "folder=cache/structure_id=c": "none\n\n"}
+    # Files beside them would cost a process each on a local disk.
+    assert not list((tmp_path / "out").rglob("structure_id=*/*.crc")) and not list((tmp_path / "out").rglob("structure_id=*/.*.crc"))
